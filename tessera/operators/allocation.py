@@ -60,7 +60,7 @@ def tilt_weights(mean: np.ndarray, cov: np.ndarray, delta: float = DELTA) -> np.
 
 def _to_capped_simplex(v: np.ndarray, cap: float) -> np.ndarray:
     lo, hi = v.min() - cap - 1, v.max() + 1
-    for _ in range(100):
+    for _ in range(60):
         m = (lo + hi) / 2
         if np.clip(v - m, 0, cap).sum() > 1:
             lo = m
@@ -69,7 +69,7 @@ def _to_capped_simplex(v: np.ndarray, cap: float) -> np.ndarray:
     return np.clip(v - (lo + hi) / 2, 0, cap)
 
 
-def mean_variance(mu: np.ndarray, cov: np.ndarray, cap: float = CAP, delta: float = DELTA, steps: int = 4000, cut: float = 1e-4) -> np.ndarray:
+def mean_variance(mu: np.ndarray, cov: np.ndarray, cap: float = CAP, delta: float = DELTA, steps: int = 500, cut: float = 1e-4) -> np.ndarray:
     """Long-only, fully invested, capped; accelerated projected gradient on a concave utility."""
     n = len(mu)
     if n * cap < 1 - 1e-12 or not (np.isfinite(mu).all() and np.isfinite(cov).all()):
@@ -82,7 +82,7 @@ def mean_variance(mu: np.ndarray, cov: np.ndarray, cap: float = CAP, delta: floa
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, moved = new + (t - 1) / u * (new - w), np.abs(new - w).max()
         w, t = new, u
-        if moved < 1e-12:
+        if moved < 1e-9:
             break
     w = np.round(np.where(np.abs(w) < cut, 0.0, w), 5)
     return w / w.sum() if w.sum() > 0 else equal(n)
@@ -179,4 +179,4 @@ def allocate(forecasts: DataFrame, names: tuple[str, ...] = tuple(STRATEGIES)) -
                     rows += [(s, t, a, float(x)) for a, x in zip(assets, STRATEGIES[s](m, c), strict=True)]
             yield pd.DataFrame(rows, columns=["strategy", "t", "asset", "weight"])
 
-    return forecasts.select("t", "assets", "mu", "cov").mapInPandas(run, "strategy string, t int, asset string, weight double")
+    return forecasts.select("t", "assets", "mu", "cov").repartition("t").mapInPandas(run, "strategy string, t int, asset string, weight double")

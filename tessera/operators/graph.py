@@ -43,7 +43,7 @@ def components_by_group(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         return pd.DataFrame({"grp": n["grp"], "id": n["id"], "component": [find(i) for i in n["id"]]})
 
     kinds = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in ("grp", "id")) + f", component {nodes.schema['id'].dataType.simpleString()}"
-    return nodes.select("grp", "id").groupBy("grp").cogroup(edges.select("grp", "a", "b").groupBy("grp")).applyInPandas(run, kinds)
+    return nodes.select("grp", "id").groupBy("grp").cogroup(edges.select(F.col("grp").alias("of"), "a", "b").groupBy("of")).applyInPandas(run, kinds)
 
 
 def representatives(rows: DataFrame, labels: DataFrame) -> DataFrame:

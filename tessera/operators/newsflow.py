@@ -75,6 +75,8 @@ def trailing_location_long(rows: DataFrame, column: str, key: str, days: int = 6
     r = rows.withColumn("_t", F.unix_micros("valid_time")).withColumn("_own", F.floor(F.col("_t") / size))
     r = r.withColumn("_b", F.explode(F.sequence(F.col("_own"), F.col("_own") + reach)))
 
+    names = rows.columns
+
     def run(pdf):
         import bisect
 
@@ -93,7 +95,7 @@ def trailing_location_long(rows: DataFrame, column: str, key: str, days: int = 6
             m = len(held)
             med.append(0.0 if not m else held[m // 2] if m % 2 else (held[m // 2 - 1] + held[m // 2]) / 2)
             cnt.append(m)
-        out = pdf[rows.columns].assign(location=med, n_before=cnt)
+        out = pdf[names].assign(location=med, n_before=cnt)
         return out[own]
 
     return r.groupBy(key, "_b").applyInPandas(run, f"{kinds}, location double, n_before long")
