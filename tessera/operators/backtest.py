@@ -60,7 +60,7 @@ def backtest(weights: DataFrame, returns: DataFrame, tx_bps: float = 10, slip_bp
                     w, start = new, (d, value)
         return pd.DataFrame(out, columns=cols)
 
-    tagged = returns.select(F.col("t"), F.col("asset"), F.col("ret")).join(F.broadcast(weights.select(F.col("strategy").alias("of")).distinct()), F.lit(True))
+    tagged = returns.select(*[F.col(c).alias(c) for c in ("t", "asset", "ret")]).join(F.broadcast(weights.select(F.col("strategy").alias("of")).distinct()), F.lit(True))
     return weights.groupBy("strategy").cogroup(tagged.groupBy("of")).applyInPandas(one, "strategy string, t int, value double, turnover double, gross double, net double, cost double")
 
 

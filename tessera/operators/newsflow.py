@@ -22,7 +22,7 @@ def symbol_list(raw: Column, primary: Column) -> Column:
     is_list, is_json = text.startswith("["), text.startswith("{")
     listed = F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
     parts = F.when(text.isNull() | is_json, F.array().cast("array<string>")).when(is_list, listed).otherwise(F.split(text, "[;,]"))
-    return F.array_distinct(F.filter(F.concat(F.array(primary), F.transform(parts, F.trim)), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.concat(F.array(primary), F.transform(parts, lambda x: F.trim(x))), lambda x: x.isNotNull() & (x != "")))
 
 
 def ingest(raw: DataFrame, group_by: tuple[str, ...] = ("exchange", "type")) -> DataFrame:

@@ -133,4 +133,6 @@ ORACLES: dict[str, str] = {
     "lognormal_moments": f"WITH {FORECAST} SELECT t, asset, round(exp(mu + v / 2) - 1, 7) AS mean, round(exp(2 * mu + v) * (exp(v) - 1), 7) AS variance FROM fc",
     "mask_renormalized": f"""WITH {PRICES}, w AS (SELECT t, asset, CASE WHEN round(price, 4) > round(avg(price) OVER (PARTITION BY t), 4) THEN 1.0 / count(*) OVER (PARTITION BY t) ELSE 0.0 END AS k FROM pp WHERE t % 5 = 0)
       SELECT t, asset, round(CASE WHEN sum(k) OVER (PARTITION BY t) > 1e-12 THEN k / sum(k) OVER (PARTITION BY t) ELSE 0.0 END, 8) AS weight FROM w""",
+    "event_windows": f"WITH {NEWS_SQL} SELECT group_key, date_trunc('day', valid_time) AS start, count(*) AS n, round(avg(raw_score), 8) AS mean FROM news GROUP BY ALL",
+    "rolling_quantile_bars": f"WITH {BARS_SQL} SELECT asset, date, CASE WHEN count(close) OVER {_w(20)} = 20 THEN round(quantile_cont(close, 0.5) OVER {_w(20)}, 7) END AS median_close FROM bars",
 }

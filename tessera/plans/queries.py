@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.rolling import ordered
 from ..operators import allocation, backtest, graph, newsflow, signals, technical
 from ..sources import panels
+from ..streaming import windows
 from .reports import REPORTS, duck_report, spark_report
 
 WINDOW, TAU, HORIZON = 126, 0.5, 5
@@ -239,10 +240,20 @@ def mask_renormalized(spark, d):
     return _rounded(backtest.apply_mask(w.withColumn("k", keep), F.col("k")).select("t", "asset", "weight"), 8)
 
 
+def event_windows(spark, d):
+    return _rounded(windows.windowed_sentiment(panels.news(spark, d)), 8)
+
+
+def rolling_quantile_bars(spark, d):
+    """Trailing 20-row median close of each asset."""
+    w = ordered().rowsBetween(-19, 0)
+    return _rounded(panels.bars(spark, d).select("asset", "date", F.when(F.count("close").over(w) == 20, F.percentile("close", F.lit(0.5)).over(w)).alias("median_close")), 7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (daily_features, rolling_ols, ewm_macd, imacd, alpha_filter, alpha_filter_cross_sectional, signal_hold, persistence_gate, rolling_beta, conditional_beta, forward_return, splits_purged,
            standardized_panel, macro_daily, asof_ffill, macro_channel, news_ingest_explode, session_snap, news_window_features, trailing_median, entity_prior, neutralize, cosine_edges, story_components,
-           story_representatives, equal_weight_backtest, cost_models, walk_forward, portfolio_metrics, covariance_forecast, lognormal_moments, allocations, strategies_backtest, strategy_metrics, exposure, mask_renormalized)
+           story_representatives, equal_weight_backtest, cost_models, walk_forward, portfolio_metrics, covariance_forecast, lognormal_moments, allocations, strategies_backtest, strategy_metrics, exposure, mask_renormalized, event_windows, rolling_quantile_bars)
     return {f.__name__: f for f in own} | {n: spark_report(n) for n in REPORTS}
 
 
