@@ -13,6 +13,7 @@ from .langid import op6_language_id
 from .mixing import op9_mixing
 from .neardup import op2_minhash
 from .quality_rules import op10_quality_rules
+from .repeats import op7_suffix_dedup
 from .secrets import op8_secrets
 from .sharding import op5_sharding
 from .toxicity import op1_toxicity
@@ -20,7 +21,7 @@ from .warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (op1_toxicity, op2_minhash, op3_warc, op4_decontamination, op5_sharding, op6_language_id, op8_secrets, op9_mixing, op10_quality_rules)
+    fs = (op1_toxicity, op2_minhash, op3_warc, op4_decontamination, op5_sharding, op6_language_id, op7_suffix_dedup, op8_secrets, op9_mixing, op10_quality_rules)
     return {f.__name__: f for f in fs} | {"pipeline": corpus_pipeline.run}
 
 

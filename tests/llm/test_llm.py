@@ -1,0 +1,315 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import decontam, langid, mixing, neardup, quality_rules, repeats, secrets, sharding, toxicity, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, c long"
+
+
+def words(rng, n, vocabulary=3000):
+    return " ".join(f"w{rng.integers(vocabulary)}x" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = np.random.default_rng(3)
+    base = [words(rng, 120) for _ in range(12)]
+    near = [" ".join("zz" if i == j * 7 else w for i, w in enumerate(base[0].split())) for j in range(1, 8)]
+    chain = [base[1], " ".join(base[1].split()[8:] + ["q1"] * 2), " ".join(base[1].split()[16:] + ["q2"] * 2)]
+    return [*base, *near, *chain, base[2], base[2], None, "", " \n\t", "Hi", "ÉCOLE Été", words(rng, 9000), base[3] + "\n" + base[4]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, ("en", "de", None)[i % 3], ("s0", "s1", None)[i % 3], len(t or ""), "r", 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[5], (None, texts[0], None, None, 0, "r", 1)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def lowered(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+# --- near duplicates ---------------------------------------------------------------
+
+
+def brute_components(items, percent=75):
+    sets = {}
+    for i, t in items:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", lowered(t)) if x]
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    top = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                n = len(sets[a] & sets[b])
+                if a < b and n and 100 * n >= percent * len(sets[a] | sets[b]) and top[a] != top[b]:
+                    top[a] = top[b] = min(top[a], top[b])
+                    changed = True
+    return top, {i: len(s) for i, s in sets.items()}
+
+
+def test_near_duplicates_against_brute_force(docs, texts):
+    top, sizes = brute_components(list(enumerate(texts)))
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.component_id, r.n_shingles, r.kept) == (top[r.doc_id], sizes[r.doc_id], top[r.doc_id] == r.doc_id)
+
+
+def test_packed_estimate_is_corrected_for_collisions(spark):
+    rng = np.random.default_rng(0)
+    a = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    for share in (0.0, 0.5, 0.9):
+        b = np.concatenate([a[: int(share * len(a))], rng.integers(0, 2**63, len(a) - int(share * len(a)), dtype=np.uint64)])
+        truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        sa, sb = (neardup.packed(neardup.minima(x)).view(np.int64).tolist() for x in (a, b))
+        d = spark.createDataFrame([(sa, sb)], "a array<long>, b array<long>")
+        assert d.select(neardup.estimate(F.col("a"), F.col("b"))).first()[0] == pytest.approx(truth, abs=0.13)
+
+
+# --- decontamination ---------------------------------------------------------------
+
+
+def brute_decontam(text, items, k=13):
+    cut = lambda t: [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t)) if x]
+    w, hit, found = cut(text), set(), []
+    for item, t in items:
+        v = cut(t)
+        n = min(k, len(v))
+        wins = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if v else set()
+        at = [i for i in range(len(w) - n + 1) if n and tuple(w[i : i + n]) in wins]
+        if at:
+            found.append(str(item))
+            hit.update(j for i in at for j in range(i, i + n))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def test_decontamination_against_brute_force(spark, docs, texts):
+    items = [(1, texts[0]), (2, " ".join(texts[4].split()[20:40])), (10, "Hi"), (3, None), (4, "  "), (5, texts[0]), (6, "w1x w2x w3x w4x")]
+    bench = spark.createDataFrame([(*x, 9) for x in items], "item_id long, text string, doc_id long")
+    got = decontam.decontaminate(docs, bench).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        t = texts[0] if r.doc_id is None else texts[r.doc_id]
+        assert tuple(r)[1:] == brute_decontam(t, items), r.doc_id
+
+
+def test_decontamination_empty(spark, docs, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert not any(r.contaminated or r.n_hit for r in decontam.decontaminate(docs, none).collect())
+    assert decontam.decontaminate(empty, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+# --- sharding ----------------------------------------------------------------------
+
+
+def test_sharding_law_and_slots(spark, docs):
+    many = docs.select("doc_id", "text").union(spark.range(1000, 9000).select("id", F.lit("x")))
+    rows = sharding.shard_documents(many).collect()
+    assert len(rows) == many.count()
+    for s in range(24):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots))) and len(slots) > 200
+    moved = [r for r in rows if r.shard != r.grown_shard]
+    assert moved and {r.grown_shard for r in moved} == {24}
+    assert all(r.size == 8 and r.text_crc32 == 0 for r in rows if r.doc_id in (24, 25))
+
+
+def test_weight_changes_move_rows_only_where_weights_changed(spark):
+    tree = sharding.topology()
+    heavier = tuple(sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in tree)
+    d = spark.range(4000).select(sharding.shard_of(F.col("id"), tree).alias("a"), sharding.shard_of(F.col("id"), heavier).alias("b")).where("a <> b").collect()
+    region = {x.shard: x.region for x in tree}
+    assert d and all(region[r.b] == region[5] for r in d)
+
+
+# --- long repeats ------------------------------------------------------------------
+
+
+def brute_repeats(items, length):
+    seen, raw = {}, [(t or "").encode() for t in items]
+    for i, b in enumerate(raw):
+        for p in range(len(b) - length + 1):
+            seen.setdefault(b[p : p + length], []).append((i, p))
+    gone = [set() for _ in raw]
+    for at in seen.values():
+        if len(at) > 1:
+            for i, p in at:
+                gone[i].update(range(p, p + length))
+    out = []
+    for b, g in zip(raw, gone, strict=True):
+        spans = sum(1 for p in g if p - 1 not in g)
+        out.append((len(b), len(g), spans, hashlib.sha256(bytes(x for p, x in enumerate(b) if p not in g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [50_000, 0])
+def test_repeats_against_brute_force(spark, hot):
+    rng = np.random.default_rng(5)
+    p = [words(rng, 30) for _ in range(6)]
+    items = [p[0] + p[1] + p[2], p[3] + p[1] + p[4], p[1], "a" * 700, "b" * 90 + "a" * 650, None, "", p[5] + "é" + p[5], p[0] + p[1] + p[2], words(rng, 3000), p[2][5:] + p[4][:90]]
+    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], "doc_id long, text string, row long")
+    want = brute_repeats(items, 100)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(d, 100, hot=hot).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_merge_keeps_order_and_prefixes():
+    rng = np.random.default_rng(6)
+    strings = sorted(bytes(rng.integers(97, 99, rng.integers(0, 12), dtype=np.uint8)) for _ in range(200))
+    runs = [sorted(strings[i::7]) for i in range(7)]
+    blobs = [repeats.encode_run([(s, b"L", 1, 2, 3, 4, 5, True) for s in r]) for r in runs]
+    last, out = b"", []
+    for s, same, payload in repeats.merge_runs([repeats.decode_run(b) for b in blobs]):
+        assert same == repeats.common_prefix(last, s) and payload == (b"L", 1, 2, 3, 4, 5, True)
+        out.append(s)
+        last = s
+    assert out == strings
+
+
+# --- WARC --------------------------------------------------------------------------
+
+
+def test_warc_round_trip_with_magic_inside_payloads(spark, tmp_path):
+    evil = "x WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
+    rows = [(1, "http://a/é b", evil), (2, None, None), (3, "u", ""), (4, "u", "same"), (5, "u", "same"), (6, "u", "ü" * 30_000), (7, "u", evil), (None, "u", "same"), (4, "u", "same")]
+    p = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
+    for kind in ("gzip", "none"):
+        path = str(tmp_path / kind)
+        warc.write_warc(p, path, compression=kind)
+        got = sorted(((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.page_records(spark, path).collect()), key=str)
+        first = {}
+        for i, _, h in rows:
+            if i is not None:
+                first[h or ""] = min(i, first.get(h or "", i))
+        import base64
+
+        want = []
+        for i, _, h in rows:
+            b = (h or "").encode()
+            again = i is not None and i > first[h or ""]
+            want.append((i or 0, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None))
+        assert got == sorted(want, key=str)
+
+
+# --- toxicity, quality, language, secrets, mixing ------------------------------------
+
+
+def test_folding_spans_and_exceptions():
+    lex = toxicity.Lexicon()
+    auto = lex.automaton()
+    assert [(s, e) for s, e, _ in toxicity.spans("You 1d10t, ѕсum! xidiot trash can, TRASH", auto)] == [(4, 9), (11, 15), (35, 40)]
+    assert toxicity.measures(None, auto) == (0.0, 0, 0) and toxicity.measures("", auto) == (0.0, 0, 0)
+
+
+def test_toxicity_learns_from_training_rows_only(spark, docs, empty):
+    rng = np.random.default_rng(8)
+    rows = [(100 + i, words(rng, 40) + (" blargh" + "xyz"[i % 3] + " blargho" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1, "r", 1) for i, t, _ in rows], SCHEMA)
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(d.union(docs), lab).collect()}
+    assert all(got[i].predicted == y for i, _, y in rows) and all(0 <= r.score <= 1 for r in got.values())
+    assert len({r.held_out for r in got.values()}) == 2
+    assert toxicity.toxicity(empty, lab).count() == 0
+    assert toxicity.toxicity(docs, lab.limit(0)).count() == docs.count()
+
+
+def brute_stats(t):
+    w = re.findall("[^\x20\x09-\x0d]+", t or "")
+    lines = [x for x in (t or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    hit = {j for i, x in enumerate(win) if win.count(x) > 1 for j in range(i, i + 3)} if len(win) < 3000 else None
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit) if hit is not None else None
+
+
+def test_quality_stats_and_rules(spark, docs, texts, empty):
+    for t in [*texts, "a b c a b c d", "x\nx\n x\n\n \n#*", "é É ÀÞ"]:
+        want, got = brute_stats(t), quality_rules.text_stats(t)
+        assert all(a is None or a == b for a, b in zip(want, got[:5], strict=True)), t
+    rng = np.random.default_rng(2)
+    rows = [(i, words(rng, 80).upper() if i % 3 == 0 else words(rng, 80), 0 if i % 3 == 0 else 1) for i in range(300)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1, "r", 1) for i, t, _ in rows], SCHEMA)
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    got = quality_rules.quality_rules(d, lab).collect()
+    assert all(r.kept == bool(rows[r.doc_id][2]) for r in got) and got[0].rules
+    assert quality_rules.quality_rules(empty, lab).count() == 0
+    assert all(r.kept != r.base_failed for r in quality_rules.quality_rules(docs, lab.limit(0)).collect())
+
+
+def test_language_evidence(spark, docs, empty):
+    rng = np.random.default_rng(4)
+    en, de = ["the", "thing", "other", "with"], ["der", "schön", "nicht", "und"]
+    say = lambda v: " ".join(rng.choice(v, 40))
+    train = spark.createDataFrame([(i, say(de if i % 2 else en), "de" if i % 2 else "en", "s", 1, "r", 1) for i in range(60)], SCHEMA)
+    pages = [(i, f"https://h{i % 2}.site.{'de' if i % 2 else 'com'}/x", f'<html lang="{"de" if i % 2 else "en"}"><p>{say(de if i % 2 else en)}</p></html>') for i in range(40)]
+    pages += [(100, None, None), (101, "bad", ""), (102, "http://h1.site.de/", "<html>123</html>"), (103, "http://h1.site.de/", '<html lang="de">xq</html>'), (0, pages[0][1], pages[0][2])]
+    got = {r.page_id: r for r in langid.identify_pages(spark.createDataFrame([(*p, "c") for p in pages], "page_id long, url string, html string, lang string"), train).collect()}
+    assert all(got[i].lang == ("de" if i % 2 else "en") and got[i].accepted for i in range(40))
+    assert not any(got[i].accepted for i in (100, 101, 102)) and got[103].lang == "de"
+    assert langid.identify_documents(empty).count() == 0
+    assert langid.identify_documents(docs).count() == docs.count()
+
+
+def test_secret_forest_on_held_out_findings(spark, docs, empty):
+    model = secrets.train(secrets.built_in_findings(spark))
+    test = secrets.built_in_findings(spark, 600, seed=99)
+    out = model.transform(secrets._vectors(test)).selectExpr("avg(cast(label = prediction as double)) a").first()[0]
+    assert out > 0.93
+    text = 'so token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff'
+    got = secrets.scan(spark.createDataFrame([(1, text, None), (2, None, "x"), (3, "", "x")], "doc_id long, text string, source string")).orderBy("start").collect()
+    assert [(text[r.start : r.start + 40], r.is_secret) for r in got] == [(got[0].finding, True), (got[0].finding, False)]
+    assert secrets.scan(empty).count() == 0 and secrets.scan(docs).count() == 0
+
+
+def test_mixing_meets_targets(spark, docs, empty):
+    rows = [(i, "w " * (10 + i % 50), ("en", "de", "fr")[i % 3], f"s{i % 2 if i % 5 else 2}", 1, "r", 1) for i in range(3000)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    target = {"lang": {"en": 1, "de": 1, "fr": 2}}
+    got = mixing.mix(d, target, budget=0.5).collect()
+    share = lambda f, v: sum(r.n_tokens * r.probability for r in got if r[f] == v) / sum(r.n_tokens * r.probability for r in got)
+    assert share("lang", "fr") == pytest.approx(0.5, abs=0.01)
+    assert sum(r.n_tokens * r.probability for r in got) == pytest.approx(0.5 * sum(r.n_tokens for r in got), rel=0.01)
+    assert sum(r.sampled for r in got) / len(got) == pytest.approx(0.5, abs=0.05)
+    assert {r.doc_id for r in got if r.sampled} == {r.doc_id for r in mixing.sampled(d, target, budget=0.5).collect()}
+    assert mixing.mix(empty).count() == 0 and mixing.mix(docs).count() == docs.count()
+
+
+# --- pipeline ------------------------------------------------------------------------
+
+
+def test_pipeline_stages_against_brute_force(spark, docs, texts, tmp_path):
+    items = [(1, texts[6])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at, now = {}, docs.select("doc_id", "text", "lang", "source", "n_chars")
+    now.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        at[name] = now.collect()
+        now = spark.createDataFrame(at[name], now.schema)
+    ids = lambda n: {r.doc_id for r in at[n]}
+    assert {24, 25, 26}.isdisjoint(ids("language ID"))
+    top, _ = brute_components([(i, t) for i, t in enumerate(texts) if i in ids("language ID")])
+    assert ids("MinHash near-dedup") - {None} == {i for i in top if top[i] == i}
+    assert ids("benchmark decontamination") == {i for i in ids("MinHash near-dedup") if i is None or not brute_decontam(texts[i], items)[-1]}
+    assert ids("mixing") <= ids("benchmark decontamination") and ids("sharding") == ids("mixing")
+
+
+def test_empty_tables(spark, empty):
+    assert neardup.near_duplicates(empty).count() == 0
+    assert sharding.shard_documents(empty).count() == 0
+    assert repeats.remove_repeats(empty).count() == 0
