@@ -161,7 +161,7 @@ def count_entries(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     return part.groupBy("entry", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, max_entries: int = 400, least_odds: float = 3.0, share: float = 0.012) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, max_entries: int = 400, least_odds: float = 3.0, share: float = 0.012, least_sure: float = 12.0) -> Lexicon:
     """Lexicon from labelled rows (k, t) and (k, y)."""
     ranked = [labels.where(F.col("y") == v).orderBy(F.xxhash64("k", F.lit("toxicity"))).limit(max_labelled) for v in (1, 0)]
     sample = stored(docs.join(ranked[0].union(ranked[1]), "k").dropDuplicates(["t"]), "labelled")
@@ -171,7 +171,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000,
         return Lexicon()
     least = max(4, math.ceil(share * pos))
     odds = F.log((F.col("toxic") + 0.5) / (pos + 1.0)) - F.log((F.col("clean") + 0.5) / (neg + 1.0))
-    rows = count_entries(sample).where(F.col("toxic") >= least).withColumn("w", odds).where(F.col("w") >= least_odds)
+    # Entries by chance: their share of toxic texts must differ from the sample's by ``least_sure`` nats.
+    rate, seen = pos / (pos + neg), F.col("toxic") + F.col("clean")
+    sure = F.col("toxic") * F.log(F.col("toxic") / seen / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / seen / (1 - rate))).otherwise(0.0)
+    rows = count_entries(sample).where(F.col("toxic") >= least).withColumn("w", odds).where((F.col("w") >= least_odds) & (sure >= least_sure))
     rows = rows.orderBy(F.desc("toxic"), F.length("entry"), "entry", "whole").limit(max_entries * 10).collect()
     entries: dict = {}
     # A longer entry is kept only if it says clearly more than a shorter one that begins it.
