@@ -8,7 +8,9 @@
    meets only the bucket's smallest id.  The similarity estimated from the packed bits
    (bit counts, corrected for chance collisions) drops hopeless pairs, the rest is
    confirmed on full sets, and components are taken.
-4. Buckets that still hold more than one component are finished exactly: members outside
+4. Members outside their bucket's largest component meet ``draws`` members of it drawn by
+   hash, which joins most of those that belong to it.
+5. Buckets that still hold more than one component are finished exactly: members outside
    the bucket's largest component meet the members of other components; pairs inside a
    component need no check, since they cannot change the result.  No cap on partners.
 
@@ -126,7 +128,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, draws: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     sig = stored(signatures(rows), "minhash")
@@ -149,15 +151,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, ke
     links = stored(confirmed(star, reps, percent), "links")
     label = components(links)
 
-    placed = crowded.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    groups = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
-    open_ = groups.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("band", F.col("top.c").alias("top"))
-    placed = stored(placed.join(open_, "band").join(sigs, "id"), "open")
+    def mixed(label: DataFrame) -> DataFrame:
+        """band, id, c, top, sig of the buckets with more than one component; top is the largest."""
+        placed = crowded.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+        groups = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
+        tops = groups.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("band", F.col("top.c").alias("top"))
+        return stored(placed.join(tops, "band").join(sigs, "id"), "open")
+
+    placed = mixed(label)
+    drawn = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(r))) for r in range(draws)]))
+    partners = placed.where("c = top").groupBy("band").agg(drawn.alias("ps"))
+    again = placed.where("c <> top").join(partners, "band").select("id", F.explode("ps").alias("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    again = stored(promising(again.distinct().join(star, ["a", "b"], "left_anti")), "again")
+    links = stored(links.union(confirmed(again, reps, percent)), "links")
+    placed = mixed(components(links))
     few = placed.where("c <> top").select("band", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("gx"))
     many = placed.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("sig").alias("gy"), "top")
     close = estimate(F.col("gx"), F.col("gy")) >= percent / 100 - margin
     rest = few.alias("f").join(many.alias("m"), (F.col("f.band") == F.col("m.band")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))) & close)
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star.union(again), ["a", "b"], "left_anti")
     more = confirmed(stored(rest, "rest"), reps, percent)
     links = stored(links.union(more), "links")
     label = components(links)
