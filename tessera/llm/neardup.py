@@ -10,9 +10,11 @@
    confirmed on full sets, and components are taken.
 4. Members outside their bucket's largest component meet ``draws`` members of it drawn by
    hash, which joins most of those that belong to it.
-5. Buckets that still hold more than one component are finished exactly: members outside
-   the bucket's largest component meet the members of other components; pairs inside a
-   component need no check, since they cannot change the result.  No cap on partners.
+5. Buckets that still hold more than one component are finished exactly.  Those with the
+   same largest component form a cluster; its members outside that component meet all
+   members of other components.  Both sides are dealt into blocks, each pair of blocks is
+   one group of bounded size, compared as matrices, and only links leave it, at most one
+   for two components.  No pair is written and no partner is left out.
 
 With 32 bands of 4 rows a pair at similarity 0.75 is missed with probability 5e-6; 256
 minima of 4 bits estimate it with a deviation of 0.029, and the margin is four of these.
@@ -128,6 +130,96 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
 
+def met(few: list, many: list, top: int, percent: int, floor: float) -> Iterator[tuple[int, int]]:
+    """Links between two lists of (id, component, signature, set): promising ones by bit counts, then exact.
+
+    Shared members are counted by products of 0/1 matrices, some thousand columns at a time.
+    """
+    fi, mi = (np.array([r[0] for r in x], np.int64) for x in (few, many))
+    fc, mc = (np.array([r[1] for r in x], np.int64) for x in (few, many))
+    fg, mg = (np.stack([r[2] for r in x]).view(np.uint64) for x in (few, many))
+    fn, mn = (np.array([len(r[3]) for r in x], np.int64) for x in (few, many))
+    lanes, differing = np.uint64(sum(1 << i for i in range(0, 64, BITS))), np.zeros((len(few), len(many)), np.int32)
+    for w in range(fg.shape[1]):
+        d = fg[:, w, None] ^ mg[None, :, w]
+        for s in (1 << i for i in range(BITS.bit_length() - 1)):
+            d |= d >> np.uint64(s)
+        differing += np.bitwise_count(d & lanes)
+    chance = 2.0**-BITS
+    near = (1 - differing / (fg.shape[1] * 64 // BITS) - chance) / (1 - chance) >= floor
+    near &= (fc[:, None] != mc) & ((mc == top) | (fi[:, None] < mi))
+    near &= np.minimum(fn[:, None], mn) * 100 >= np.maximum(fn[:, None], mn) * percent
+    f, m = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    if not len(f):
+        return
+    fs, ms = [few[i][3] for i in f], [many[i][3] for i in m]
+    fo, mo = np.repeat(np.arange(len(f)), fn[f]), np.repeat(np.arange(len(m)), mn[m])
+    fv, mv = np.concatenate(fs), np.concatenate(ms)
+    both = np.intersect1d(fv, mv)
+    common = np.zeros((len(f), len(m)), np.float32)  # exact below 2**24 in a step
+    shared = np.zeros((len(f), len(m)), np.int64)
+    fp, mp = np.searchsorted(both, fv), np.searchsorted(both, mv)
+    fhit, mhit = (both[np.minimum(p, max(len(both) - 1, 0))] == v if len(both) else np.zeros(len(v), bool) for p, v in ((fp, fv), (mp, mv)))
+    fo, fp, mo, mp = fo[fhit], fp[fhit], mo[mhit], mp[mhit]
+    forder, morder = np.argsort(fp, kind="stable"), np.argsort(mp, kind="stable")
+    fo, fp, mo, mp = fo[forder], fp[forder], mo[morder], mp[morder]
+    width = 4096
+    for at in range(0, len(both), width):
+        x, y = np.zeros((len(f), width), np.float32), np.zeros((len(m), width), np.float32)
+        i, j = np.searchsorted(fp, [at, at + width])
+        x[fo[i:j], fp[i:j] - at] = 1
+        i, j = np.searchsorted(mp, [at, at + width])
+        y[mo[i:j], mp[i:j] - at] = 1
+        np.matmul(x, y.T, out=common)
+        shared += common.astype(np.int64)
+    ok = near[np.ix_(f, m)] & (shared * 100 >= (fn[f][:, None] + mn[m] - shared) * percent)
+    x, y = np.nonzero(ok)
+    _, one = np.unique(np.stack([fc[f[x]], mc[m[y]]]), axis=1, return_index=True)
+    for k in one:
+        a, b = int(fi[f[x[k]]]), int(mi[m[y[k]]])
+        yield min(a, b), max(a, b)
+
+
+def linked_in_blocks(placed: DataFrame, docs: DataFrame, percent: int, floor: float, block: int = 400, room: int = 400_000) -> DataFrame:
+    """Links (a, b) between components that share a bucket, from rows (id, c, top, sig).
+
+    A block holds about ``block`` members and ``room`` shingles, or one longer text.
+    """
+    sets = stored(full_sets(docs.join(placed.select(F.col("id").alias("k")).distinct(), "k", "left_semi")).where(F.size("s") > 0), "sets")
+    rows = placed.select("top", "id", "c", "sig").distinct()
+    sizes = rows.join(sets.groupBy(F.col("k").alias("id")).agg(F.sum(F.size("s")).alias("n")), "id")
+    out = F.col("c") != F.col("top")
+    parts = lambda m, n: F.ceil(F.greatest(m / block, n / room)).cast("int")
+    deal = sizes.groupBy("top").agg(
+        parts(F.count_if(out), F.sum(F.when(out, F.col("n")).otherwise(0))).alias("nf"),
+        parts(F.count(F.lit(1)), F.sum("n")).alias("nm"),
+    )
+    dealt = rows.join(deal, "top")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    few = dealt.where(out).select("top", "id", "c", "sig", own("nf").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"), F.lit(0).alias("side"))
+    many = dealt.select("top", "id", "c", "sig", F.explode(F.sequence(F.lit(0), F.col("nf") - 1)).alias("i"), own("nm").alias("j"), F.lit(1).alias("side"))
+    groups = few.union(many).join(sets.withColumnRenamed("k", "id"), "id").select("top", "i", "j", "side", "id", "c", "sig", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[pa.RecordBatch]:
+            if sides[0] and sides[1]:
+                if got := list(met(*sides, key[0], percent, floor)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got, strict=True)], names=["a", "b"])
+
+        key, sides = None, ([], [])
+        for b in batches:
+            t, i, j, side, ids, c = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            for r in range(b.num_rows):
+                if key != (k := (int(t[r]), int(i[r]), int(j[r]))):
+                    yield from done()
+                    key, sides = k, ([], [])
+                sig, s = (b.column(x)[r].values.to_numpy(zero_copy_only=False).copy() for x in (6, 7))
+                sides[int(side[r])].append((int(ids[r]), int(c[r]), sig, s))
+        yield from done()
+
+    return groups.repartition("top", "i", "j").sortWithinPartitions("top", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, draws: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
@@ -165,12 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, dr
     again = stored(promising(again.distinct().join(star, ["a", "b"], "left_anti")), "again")
     links = stored(links.union(confirmed(again, reps, percent)), "links")
     placed = mixed(components(links))
-    few = placed.where("c <> top").select("band", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("gx"))
-    many = placed.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("sig").alias("gy"), "top")
-    close = estimate(F.col("gx"), F.col("gy")) >= percent / 100 - margin
-    rest = few.alias("f").join(many.alias("m"), (F.col("f.band") == F.col("m.band")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))) & close)
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star.union(again), ["a", "b"], "left_anti")
-    more = confirmed(stored(rest, "rest"), reps, percent)
+    more = stored(linked_in_blocks(placed, reps, percent, percent / 100 - margin), "more")
     links = stored(links.union(more), "links")
     label = components(links)
 

@@ -71,6 +71,29 @@ def test_near_duplicates_against_brute_force(docs, texts):
             assert (r.component_id, r.n_shingles, r.kept) == (top[r.doc_id], sizes[r.doc_id], top[r.doc_id] == r.doc_id)
 
 
+def test_blocks_link_what_pairs_would(spark):
+    """Near copies of which many are just below the threshold, in blocks of a few members."""
+    rng = np.random.default_rng(11)
+    base = words(rng, 100).split()
+    texts = []
+    for i in range(70):
+        w = list(base)
+        for j in rng.choice(100, rng.integers(1, 7), replace=False):
+            w[j] = f"e{i}x{j}"
+        texts.append(" ".join(w))
+    top, _ = brute_components(list(enumerate(texts)))
+    assert 2 < len(set(top.values())) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = docs.selectExpr("doc_id k", "text t")
+    sig = neardup.signatures(reps).select(F.col("k").alias("id"), "sig")
+    for largest in (-1, 0):  # nobody linked so far: the largest component is no member, or one of them
+        placed = sig.select("id", F.col("id").alias("c"), F.lit(largest).cast("long").alias("top"), "sig")
+        links = neardup.linked_in_blocks(placed, reps, 75, 0.63, block=9, room=2000)
+        label = {r.id: r.component for r in neardup.components(links).collect()}
+        assert {i: label.get(i, i) for i in top} == top
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == top
+
+
 def test_packed_estimate_is_corrected_for_collisions(spark):
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
