@@ -135,7 +135,8 @@ def fuse(rows: DataFrame, langs: list[str], least: float = 0.5, kappa: float = 2
         return c.select(by, F.array(*odds).alias(f"p_{by}"))
 
     flat = F.array(*[F.lit(0.0)] * k)
-    out = rows.join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left").join(hosts, ["site", "host"], "left")
+    # written first: a small table is broadcast by its files' size, and a hot host's rows can be split otherwise
+    out = rows.join(stored(given("declared"), "declared"), "declared", "left").join(stored(given("suffix"), "suffix"), "suffix", "left").join(stored(hosts, "hosts"), ["site", "host"], "left")
     z = F.col("ll")
     for part in (F.coalesce("p_declared", flat), F.coalesce("p_suffix", flat), F.transform(F.coalesce("prior", F.array(*map(F.lit, base))), lambda x: F.ln(x))):
         z = F.zip_with(z, part, lambda a, b: a + b)
