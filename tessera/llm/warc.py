@@ -20,6 +20,8 @@ whose length field can't be read are skipped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +36,22 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1: 20 bits (5 hex digits) make 4 letters."""
-    h = F.sha1(data)
-    quads = F.transform(F.sequence(F.lit(1), F.lit(36), F.lit(5)), lambda p: F.conv(F.substring(h, p, F.lit(5)), 16, 10).cast("int"))
+    """Upper-case base32 of the SHA-1."""
+    return base32(F.sha1(data))
+
+
+def base32(digest: Column) -> Column:
+    """Base32 of 40 hex digits: 5 of them (20 bits) make 4 letters.
+
+    The outer one-item list binds the digest to a lambda variable, so that it is computed once.
+    """
     letters = [lambda q, s=s: F.substring(F.lit(BASE32), F.shiftright(q, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.array_join(F.transform(quads, lambda q: F.concat(*[f(q) for f in letters])), "")
+
+    def spelled(h: Column) -> Column:
+        quads = F.transform(F.sequence(F.lit(1), F.lit(36), F.lit(5)), lambda p: F.conv(F.substring(h, p, F.lit(5)), 16, 10).cast("int"))
+        return F.array_join(F.transform(quads, lambda q: F.concat(*[f(q) for f in letters])), "")
+
+    return F.transform(F.array(digest), spelled)[0]
 
 
 def records(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -46,6 +59,8 @@ def records(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "
     p = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html").cast("long"))
     copies = p.where(F.col("n") >= least).groupBy("digest", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("digest").alias("d2"), F.col("n").alias("n2"), "first")
+    # Written first, so that its size decides whether it is broadcast or both sides are shuffled.
+    copies = stored(copies, "copies")
     p = p.join(copies, (F.col("digest") == F.col("d2")) & (F.col("n") == F.col("n2")), "left")
     again = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -54,7 +69,7 @@ def records(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "
         F.lit(MAGIC + "WARC-Type: "), F.when(again, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("id")),
         F.lit("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[^\x21-\x7E]", ""),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), base32_sha1(F.col("html").cast("binary")),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("digest")),
         F.when(again, F.concat(F.lit("\r\nWARC-Refers-To: "), name(F.col("first")), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
         F.lit(GAP),
@@ -67,48 +82,87 @@ def write_warc(pages: DataFrame, path: str, max_records: int = 50_000, compressi
 
 
 def _reached(nodes: DataFrame) -> DataFrame:
-    """file, at of all candidates on the chain from offset 0 of each file."""
-    known = stored(nodes.where("at = 0").select("file", "at"), "reached")
-    ends = nodes.select("file", F.col("at").alias("next"))
-    jump = stored(nodes.select("file", "at", "next").join(ends, ["file", "next"]).select("file", "at", "next"), "jumps")
+    """fid (hash of the file's path), at of all candidates on the chain from offset 0 of each file."""
+    known = stored(nodes.where("at = 0").select("fid", "at"), "reached")
+    ends = nodes.select("fid", F.col("at").alias("next"))
+    jump = stored(nodes.select("fid", "at", "next").join(ends, ["fid", "next"]).select("fid", "at", "next"), "jumps")
     n = known.count()
     while True:
-        known = stored(known.union(known.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))).distinct(), "reached")
+        known = stored(known.union(known.join(jump, ["fid", "at"]).select("fid", F.col("next").alias("at"))).distinct(), "reached")
         n, before = known.count(), n
         if n == before:
             return known
-        on = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = stored(jump.join(on, ["file", "next"]).select("file", "at", F.col("far").alias("next")), "jumps")
+        on = jump.select("fid", F.col("at").alias("next"), F.col("next").alias("far"))
+        jump = stored(jump.join(on, ["fid", "next"]).select("fid", "at", F.col("far").alias("next")), "jumps")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """file, at, header, block (binary) of every record."""
-    m = len(MAGIC)
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """fid, file, split, seq, value, head, skip, clen: the files' text between magic lines."""
     raw = spark.read.schema(T.StructType([T.StructField("value", T.StringType())])).option("lineSep", MAGIC).text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
-    before = Window.partitionBy("file").orderBy("split", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.octet_length("value") + F.lit(m)).over(before), F.lit(0)) - m
+    name = F.col("_metadata.file_path")
+    raw = raw.select(F.xxhash64(name).alias("fid"), name.alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
     end = F.locate(GAP, F.col("value"))
-    piece = raw.withColumn("at", at.cast("long")).where("at >= 0").withColumn("head", F.when(end > 0, F.substring(F.col("value"), F.lit(1), end - 1)).otherwise(F.lit("")))
+    raw = raw.withColumn("head", F.when(end > 0, F.substring(F.col("value"), F.lit(1), end - 1)).otherwise(F.lit("")))
     length = F.expr("try_cast(regexp_extract(head, '(?i)(?:^|\\\\n)Content-Length: *(\\\\d{1,18})', 1) AS BIGINT)")
-    piece = piece.withColumn("clen", length).withColumn("skip", F.octet_length("head") + 4)
-    piece = stored(piece.select("file", "at", "head", "clen", "skip", (F.col("at") + m + F.col("skip") + F.col("clen") + 4).alias("next"), F.col("value").cast("binary").alias("piece")), "pieces")
-    true = _reached(piece.where("next is not null").select("file", "at", "next")).withColumn("real", F.lit(True))
+    return raw.withColumn("skip", F.octet_length("head") + 4).withColumn("clen", length)
+
+
+def _placed(pieces: DataFrame) -> DataFrame:
+    """at, the offset of its magic line, beside each piece (which has its ``size``); what precedes the first one goes."""
+    before = Window.partitionBy("fid").orderBy("split", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col("size") + F.lit(len(MAGIC))).over(before), F.lit(0)) - len(MAGIC)
+    return pieces.withColumn("at", at.cast("long")).where("at >= 0")
+
+
+def _spanning(spark: SparkSession, path: str, marked: DataFrame, project: Callable) -> DataFrame:
+    """The records that hold magic lines; only files with such records are read again."""
+    order = Window.partitionBy("fid").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    owner = marked.select("fid", "at", "real", "closed").withColumn("of", F.last(F.when(F.col("real"), F.struct("at", "closed")), ignorenulls=True).over(order))
+    wanted = stored(owner.where("not of.closed").select("fid", "at", F.col("of.at").alias("of")), "spanning")
+    values = _pieces(spark, path).join(wanted.select("fid").distinct(), "fid", "left_semi").withColumn("size", F.octet_length("value").cast("long"))
+    values = _placed(values).join(wanted, ["fid", "at"])
+    parts = values.groupBy("fid", "of").agg(
+        F.min("file").alias("file"), F.min_by("head", "at").alias("head"), F.min_by("skip", "at").alias("skip"), F.min_by("clen", "at").alias("clen"),
+        F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("piece")))).alias("parts"),
+    )
+    # A magic line is lost before every part but the first.
+    whole = F.aggregate(F.slice("parts", 2, F.size("parts")), F.col("parts")[0]["piece"], lambda s, x: F.concat(s, F.lit(MAGIC.encode()), x["piece"]))
+    block = F.substring(whole, F.col("skip") + 1, F.col("clen").cast("int"))
+    return parts.select("file", F.col("of").alias("at"), F.struct(*project(F.col("head"), block)).alias("got"))
 
-    order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    light = piece.select("file", "at").join(true, ["file", "at"], "left")
-    owner = light.withColumn("of", F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(order))
-    inner = owner.where("real is null and of is not null").select("file", "at", "of")
-    tail = inner.join(piece.select("file", "at", "piece"), ["file", "at"]).groupBy("file", F.col("of").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("rest"))
-    whole = piece.join(true, ["file", "at"], "left_semi").join(tail, ["file", "at"], "left")
-    body = F.substring(F.col("piece"), F.col("skip") + 1, F.octet_length("piece"))
-    more = F.aggregate("rest", F.lit(b""), lambda s, x: F.concat(s, F.lit(MAGIC.encode()), x["piece"]))
-    full = F.when(F.col("rest").isNull(), body).otherwise(F.concat(body, more))
-    return whole.select("file", "at", F.col("head").alias("header"), F.substring(full, F.lit(1), F.col("clen").cast("int")).alias("block"))
 
+def read_warc(spark: SparkSession, path: str, project: Callable[[Column, Column], list[Column]] | None = None) -> DataFrame:
+    """file, at and project(header, block) of every record; by default header and block (binary).
+
+    What is projected is computed where a piece is read, so a projection without the block
+    keeps payloads out of every shuffle, but for files in which magic lines are in payloads.
+    """
+    project = project or (lambda head, block: [head.alias("header"), block.alias("block")])
+    block = F.substring(F.col("value").cast("binary"), F.col("skip") + 1, F.col("clen").cast("int"))
+    size = F.octet_length("value").cast("long")
+    light = _pieces(spark, path).select("fid", "file", "split", "seq", size.alias("size"), "skip", "clen", F.coalesce(size >= F.col("skip") + F.col("clen"), F.lit(False)).alias("closed"), F.struct(*project(F.col("head"), block)).alias("got"))
+    after = F.col("at") + len(MAGIC) + F.col("skip") + F.col("clen") + 4
+    light = stored(_placed(light).select("fid", "file", "at", "clen", after.alias("next"), "closed", "got"), "pieces")
+    true = _reached(light.where("next is not null").select("fid", "at", "next")).withColumn("real", F.lit(True))
+    marked = light.join(true, ["fid", "at"], "left")
+    plain = marked.where("real and closed").select("file", "at", "got")
+    if marked.where("real and not closed").limit(1).count():
+        plain = plain.union(_spanning(spark, path, marked, project))
+    return plain.select("file", "at", "got.*")
+
+
+def _field(head: Column, name: str) -> Column:
+    return F.regexp_extract(head, rf"(?i)(?:^|\n){name}: *([^\r\n]*)", 1)
 
-def _field(name: str) -> Column:
-    return F.regexp_extract("header", rf"(?i)(?:^|\n){name}: *([^\r\n]*)", 1)
+
+def _page_columns(head: Column, block: Column) -> list[Column]:
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    payload = F.substring(block, F.lit(len(HTTP) + 1), F.octet_length(block))
+    return [
+        number(_field(head, "WARC-Record-ID")).alias("page_id"), _field(head, "WARC-Type").alias("record_type"), number(_field(head, "WARC-Refers-To")).alias("refers_to"),
+        _field(head, "WARC-Target-URI").alias("target_uri"), F.regexp_replace(_field(head, "WARC-Payload-Digest"), "^sha1:", "").alias("declared"),
+        F.octet_length(payload).cast("long").alias("bytes"), base32_sha1(payload).alias("digest"),
+    ]
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
@@ -116,14 +170,7 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
 
     Bytes and digest are computed from what was read; a revisit takes those of its response.
     """
-    r = read_warc(spark, path)
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    r = r.select(
-        number(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"), number(_field("WARC-Refers-To")).alias("refers_to"),
-        _field("WARC-Target-URI").alias("target_uri"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "").alias("declared"),
-        F.substring(F.col("block"), F.lit(len(HTTP) + 1), F.octet_length("block")).alias("payload"),
-    )
-    r = stored(r.select("page_id", "record_type", "refers_to", "target_uri", "declared", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("digest")), "records")
+    r = stored(read_warc(spark, path, _page_columns), "records")
     first = r.where("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("declared"), F.col("bytes").alias("b1"), F.col("digest").alias("d1")).distinct()
     again = r.where("record_type = 'revisit'").join(first, ["refers_to", "declared"], "left").select("page_id", F.col("b1").alias("payload_bytes"), F.col("d1").alias("payload_digest"), "record_type", "refers_to", "target_uri")
     return r.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "target_uri").union(again)
