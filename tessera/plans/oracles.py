@@ -72,6 +72,9 @@ LIN = "(1 + gross) * (1 - turnover * {b} / 10000.0) - 1"
 TRIP = "(gross * (1 - turnover * {b} / 20000.0) - 2 * turnover * {b} / 20000.0) / (1 + turnover * {b} / 20000.0)"
 FORECAST = f"""{PRICES}, lr AS (SELECT asset, t, ln(price) - lag(ln(price)) OVER (PARTITION BY asset ORDER BY t) AS r FROM pp), ats AS (SELECT DISTINCT t AS t0 FROM pp WHERE t >= 60 AND t % 5 = 0 AND t <= (SELECT max(t) FROM pp) - 5),
 fc AS (SELECT t0 AS t, asset, avg(r) AS mu, var_samp(r) AS v FROM ats JOIN lr ON lr.t > t0 - 60 AND lr.t <= t0 AND r IS NOT NULL GROUP BY t0, asset)"""
+CHUNKS = r"""wd AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+nk AS (SELECT *, len(w) AS n, greatest(1, CAST(ceil(len(w) / 128) AS BIGINT)) AS k FROM wd), ix AS (SELECT *, unnest(range(k)) AS chunk FROM nk),
+cut AS (SELECT doc_id, n, k, chunk, CASE WHEN n <= 128 THEN text ELSE array_to_string(w[128 * chunk + 1 : 128 * chunk + 128], ' ') END AS piece FROM ix)"""
 EDGES = "v AS (SELECT label AS grp, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ed AS (SELECT a.grp, a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS cosine FROM v a JOIN v b ON a.grp = b.grp AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.4)"
 SERIES = f"""{MACRO_SQL}, sp AS (SELECT indicator, min(date) AS lo, max(date) AS hi FROM macro GROUP BY indicator HAVING count(*) >= 122), gr AS (SELECT indicator, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM sp),
 x0 AS (SELECT indicator, date, last_value(adj_close IGNORE NULLS) OVER (PARTITION BY indicator ORDER BY date) AS x FROM gr LEFT JOIN macro USING (indicator, date)),
@@ -134,5 +137,15 @@ ORACLES: dict[str, str] = {
     "mask_renormalized": f"""WITH {PRICES}, w AS (SELECT t, asset, CASE WHEN round(price, 4) > round(avg(price) OVER (PARTITION BY t), 4) THEN 1.0 / count(*) OVER (PARTITION BY t) ELSE 0.0 END AS k FROM pp WHERE t % 5 = 0)
       SELECT t, asset, round(CASE WHEN sum(k) OVER (PARTITION BY t) > 1e-12 THEN k / sum(k) OVER (PARTITION BY t) ELSE 0.0 END, 8) AS weight FROM w""",
     "event_windows": f"WITH {NEWS_SQL} SELECT group_key, date_trunc('day', valid_time) AS start, count(*) AS n, round(avg(raw_score), 8) AS mean FROM news GROUP BY ALL",
+    "naive_buy_and_hold": f"WITH {PRICES}, f AS (SELECT asset, price AS p0 FROM pp WHERE t = 0) SELECT t, round(avg(price / p0), 7) AS value FROM pp JOIN f USING (asset) GROUP BY t",
+    "naive_index": f"""WITH {PRICES}, {MACRO_SQL}, pb AS (SELECT i.indicator, d.date FROM (SELECT DISTINCT indicator FROM macro) i, (SELECT DISTINCT date FROM pp) d),
+      al AS (SELECT pb.indicator, pb.date, adj_close FROM pb ASOF LEFT JOIN macro ON pb.indicator = macro.indicator AND pb.date >= macro.date),
+      b0 AS (SELECT indicator, adj_close AS base FROM al WHERE date = (SELECT min(date) FROM al)) SELECT indicator, date, round(adj_close / base, 6) AS value FROM al JOIN b0 USING (indicator)""",
+    "return_distribution": f"""WITH {BARS_SQL}, {RET}, st AS (SELECT asset, count(ret) AS n, avg(ret) AS m, stddev_samp(ret) AS s FROM ret GROUP BY asset HAVING count(ret) >= 60 AND stddev_samp(ret) > 1e-12),
+      z AS (SELECT asset, ret AS r, (ret - m) / s AS z FROM ret JOIN st USING (asset) WHERE ret IS NOT NULL), c AS (SELECT avg(z) AS mz FROM z)
+      SELECT count(*) AS n, count(DISTINCT asset) AS n_assets, round(var_samp(r), 10) AS variance, round(avg((z - mz) ** 3) / avg((z - mz) ** 2) ** 1.5, 6) AS skew, round(kurtosis(z), 6) AS excess_kurtosis FROM z, c""",
+    "text_chunks": f"WITH {CHUNKS} SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(k AS INT) AS n_chunks, md5(piece) AS piece_md5 FROM cut",
+    "chunk_reduce": f"""WITH {CHUNKS}, m AS (SELECT doc_id, sum(least(16, n - 128 * chunk)) AS words FROM cut GROUP BY doc_id)
+      SELECT doc_id, CAST(greatest(1, ceil(words / 128)) AS INT) AS n_chunks, CAST(words AS BIGINT) AS n_words FROM m""",
     "rolling_quantile_bars": f"WITH {BARS_SQL} SELECT asset, date, CASE WHEN count(close) OVER {_w(20)} = 20 THEN round(quantile_cont(close, 0.5) OVER {_w(20)}, 7) END AS median_close FROM bars",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import ordered
-from ..operators import allocation, backtest, graph, newsflow, signals, technical
+from ..operators import allocation, backtest, baselines, chunks, graph, newsflow, signals, technical
 from ..sources import panels
 from ..streaming import windows
 from .reports import REPORTS, duck_report, spark_report
@@ -250,8 +250,36 @@ def rolling_quantile_bars(spark, d):
     return _rounded(panels.bars(spark, d).select("asset", "date", F.when(F.count("close").over(w) == 20, F.percentile("close", F.lit(0.5)).over(w)).alias("median_close")), 7)
 
 
+def naive_buy_and_hold(spark, d):
+    return _rounded(baselines.buy_and_hold(_prices(spark, d)), 7)
+
+
+def naive_index(spark, d):
+    days = _prices(spark, d).select("date").distinct()
+    names = panels.macro(spark, d).select("indicator").distinct()
+    at = signals.asof(names.join(F.broadcast(days), F.lit(True)), panels.macro(spark, d), "indicator", ["adj_close"])
+    return _rounded(baselines.index_paths(at))
+
+
+def return_distribution(spark, d):
+    return _rounded(baselines.pooled_moments(baselines.standardized_returns(panels.bars(spark, d))), 6, variance=10)
+
+
+def text_chunks(spark, d):
+    c = chunks.chunked(panels.read(spark, d, "documents"), 128, "doc_id")
+    return c.select("doc_id", "chunk", "n_chunks", F.md5("piece").alias("piece_md5"))
+
+
+def chunk_reduce(spark, d):
+    """Each piece reduced to its first 16 words, joined in order, and chunked once more."""
+    c = chunks.chunked(panels.read(spark, d, "documents"), 128, "doc_id")
+    short = c.withColumn("piece", F.array_join(F.slice(chunks.words_of(F.col("piece")), 1, 16), " "))
+    again = chunks.chunked(chunks.joined(short, "doc_id"), 128, "doc_id")
+    return again.groupBy("doc_id").agg(F.max("n_chunks").alias("n_chunks"), F.sum(F.size(chunks.words_of(F.col("piece")))).alias("n_words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (daily_features, rolling_ols, ewm_macd, imacd, alpha_filter, alpha_filter_cross_sectional, signal_hold, persistence_gate, rolling_beta, conditional_beta, forward_return, splits_purged,
+    own = (naive_buy_and_hold, naive_index, return_distribution, text_chunks, chunk_reduce, daily_features, rolling_ols, ewm_macd, imacd, alpha_filter, alpha_filter_cross_sectional, signal_hold, persistence_gate, rolling_beta, conditional_beta, forward_return, splits_purged,
            standardized_panel, macro_daily, asof_ffill, macro_channel, news_ingest_explode, session_snap, news_window_features, trailing_median, entity_prior, neutralize, cosine_edges, story_components,
            story_representatives, equal_weight_backtest, cost_models, walk_forward, portfolio_metrics, covariance_forecast, lognormal_moments, allocations, strategies_backtest, strategy_metrics, exposure, mask_renormalized, event_windows, rolling_quantile_bars)
     return {f.__name__: f for f in own} | {n: spark_report(n) for n in REPORTS}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import rolling
-from tessera.operators import allocation, backtest, graph, newsflow, signals, technical
+from tessera.operators import allocation, backtest, baselines, chunks, graph, newsflow, signals, technical
 from tessera.streaming import orders
 
 
@@ -133,3 +133,26 @@ def test_every_query_but_the_rows_only_ones_has_sql():
 
     without = set(queries.queries()) - set(queries.oracle_sql())
     assert without == {"macro_channel", "story_representatives", "allocations", "strategies_backtest", "strategy_metrics", "exposure"}
+
+
+def test_chunks_keep_all_words_in_order(spark):
+    words = [f"w{i}" for i in range(25)]
+    rows = [(1, "  ".join(words)), (2, "short  text"), (3, ""), (4, None), (5, " ".join(words[:20]))]
+    c = chunks.chunked(spark.createDataFrame(rows, "id long, text string"), 10)
+    got = sorted((r.id, r.chunk, r.n_chunks, len(r.piece.split())) for r in c.collect())
+    assert got == [(1, 0, 3, 10), (1, 1, 3, 10), (1, 2, 3, 5), (2, 0, 1, 2), (3, 0, 1, 0), (5, 0, 2, 10), (5, 1, 2, 10)]
+    back = {r.id: r.text for r in chunks.joined(c).collect()}
+    assert back == {1: " ".join(words), 2: "short  text", 3: "", 5: " ".join(words[:20])}
+
+
+def test_naive_curves_and_pooled_moments(spark):
+    p = spark.createDataFrame([("A", 0, 10.0), ("B", 0, 20.0), ("A", 1, 11.0), ("B", 1, 18.0)], "asset string, t int, price double")
+    assert {r.t: round(r.value, 9) for r in baselines.buy_and_hold(p).collect()} == {0: 1.0, 1: 1.0}
+    z = baselines.standardized_returns(panel(spark), 30).cache()
+    x = np.array([r.z for r in z.collect()])
+    got = baselines.pooled_moments(z).first()
+    n, m = len(x), x - x.mean()
+    k = (m**4).mean() / (m**2).mean() ** 2 - 3
+    assert got.n == n and got.n_assets == 2
+    assert got.excess_kurtosis == pytest.approx((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6))
+    assert baselines.standardized_returns(panel(spark), 1000).count() == 0
