@@ -9,7 +9,8 @@ Reading.  Files are read split by the magic line, so each piece is a *candidate*
 known offset.  A candidate's header gives the offset of its successor; which candidates are
 records is decided by pointer jumping from each file's start: after k rounds all records
 within 2^k steps are known and pointers span 2^k records.  Magic lines inside payloads are
-never reached, and their pieces are joined back to the record that holds them.
+never reached, and their pieces are joined back to the record that holds them: files with
+such records are read a second time.  Files are told apart by a 64-bit hash of their path.
 
 Defined results: a null or empty payload has 0 bytes; null and non-ASCII characters of an
 address are left out of the header; a null page id is read back as null and is a response;
