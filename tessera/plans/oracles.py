@@ -109,6 +109,10 @@ ORACLES: dict[str, str] = {
     "news_ingest_explode": r"""WITH r AS (SELECT doc_id, upper(source) AS sym, upper(lang) AS ty, trim(substr(text, 1, 20)) AS t, CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(substr(text, 21, 20)) END AS c FROM documents),
       s AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN [sym, 'A', 'B'] WHEN 1 THEN [sym, 'A', 'B', 'C'] ELSE [sym] END AS tick FROM r)
       SELECT CAST(doc_id AS VARCHAR) AS article_id, unnest(tick) AS ticker, 'EX' AS exchange, 'EX:' || ty AS group_key, CAST(length(CASE WHEN c = '' THEN t WHEN t = '' THEN c ELSE t || '. ' || c END) AS BIGINT) AS n_chars FROM s WHERE t <> '' OR c <> ''""",
+    "news_ingest_whole": r"""WITH r AS (SELECT doc_id, upper(source) AS sym, upper(lang) AS ty, strpos(text, chr(10)) AS nl, text FROM documents),
+      h AS (SELECT *, trim(CASE WHEN nl = 0 THEN text ELSE substr(text, 1, nl - 1) END) AS t, trim(CASE WHEN nl = 0 THEN '' ELSE substr(text, nl + 1) END) AS c FROM r),
+      f AS (SELECT *, CASE WHEN c = '' THEN t WHEN t = '' THEN c ELSE t || '. ' || c END AS body, CASE doc_id % 4 WHEN 0 THEN [sym, 'A', 'B'] WHEN 1 THEN [sym, 'A', 'B', 'C'] ELSE [sym] END AS tick FROM h)
+      SELECT CAST(doc_id AS VARCHAR) AS article_id, unnest(tick) AS ticker, 'EX' AS exchange, 'EX:' || ty AS group_key, CAST(length(body) AS BIGINT) AS n_chars, md5(body) AS text_md5 FROM f WHERE body <> ''""",
     "session_snap": """WITH ev AS (SELECT CAST(ts AS DATE) + CAST(CASE WHEN hour(ts) + minute(ts) / 60.0 + second(ts) / 3600.0 > 20 THEN 1 ELSE 0 END AS INTEGER) AS day FROM events), se AS (SELECT DISTINCT CAST(ts AS DATE) AS session FROM events WHERE dayofweek(ts) BETWEEN 1 AND 5)
       SELECT session, count(*) AS n FROM ev ASOF JOIN se ON ev.day <= se.session GROUP BY session""",
     "news_window_features": f"""WITH {NEWS_SQL}, a AS (SELECT group_key AS asset, raw_score AS s, CAST(valid_time AS DATE) + CAST(CASE WHEN hour(valid_time) + minute(valid_time) / 60.0 + second(valid_time) / 3600.0 > 20 THEN 1 ELSE 0 END AS INTEGER) AS day FROM news),

@@ -103,15 +103,27 @@ def macro_channel(spark, d):
     return out.select("asset", "date", "n_pos", "n_neg", "n_trigger", "direction", *[signals.combine(F.col("own"), F.col("direction"), m).alias(m) for m in ("alpha", "beta", "both")])
 
 
-def news_ingest_explode(spark, d):
-    raw = panels.read(spark, d, "documents").select(
+def _raw_news(spark, d, title, content):
+    return panels.read(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("EX:"), F.upper("source")).alias("ticker"), F.lit("2024-01-02T10:00:00Z").alias("date"), F.lit(None).cast("string").alias("snippet"),
-        F.substring("text", 1, 20).alias("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 21, 20)).alias("content"),
+        title.alias("title"), content.alias("content"),
         F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('["A","B","'), F.upper("source"), F.lit('"]'))).when(F.col("doc_id") % 4 == 1, "A; B,C").when(F.col("doc_id") % 4 == 2, '{"x": 1}').alias("symbols"), F.upper("lang").alias("type"),
     )
+
+
+def news_ingest_explode(spark, d):
+    """Ingest of short articles cut from the documents, as its SQL states; :func:`news_ingest_whole` takes whole texts."""
+    raw = _raw_news(spark, d, F.substring("text", 1, 20), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 21, 20)))
     return newsflow.ingest(raw).select("article_id", "ticker", "exchange", "group_key", F.length("full_text").cast("long").alias("n_chars"))
 
 
+def news_ingest_whole(spark, d):
+    """Ingest of whole documents: the first line is the title, all the rest the content."""
+    title = F.substring_index("text", "\n", 1)
+    raw = _raw_news(spark, d, title, F.substring(F.col("text"), F.length(title) + 2, F.length("text")))
+    return newsflow.ingest(raw).select("article_id", "ticker", "exchange", "group_key", F.length("full_text").cast("long").alias("n_chars"), F.md5("full_text").alias("text_md5"))
+
+
 def _articles(spark, d):
     return panels.news(spark, d).select("article_id", F.col("group_key").alias("asset"), F.col("raw_score").alias("sentiment"), newsflow.publication_day(F.col("valid_time")).alias("day"))
 
@@ -280,7 +292,7 @@ def chunk_reduce(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (naive_buy_and_hold, naive_index, return_distribution, text_chunks, chunk_reduce, daily_features, rolling_ols, ewm_macd, imacd, alpha_filter, alpha_filter_cross_sectional, signal_hold, persistence_gate, rolling_beta, conditional_beta, forward_return, splits_purged,
-           standardized_panel, macro_daily, asof_ffill, macro_channel, news_ingest_explode, session_snap, news_window_features, trailing_median, entity_prior, neutralize, cosine_edges, story_components,
+           standardized_panel, macro_daily, asof_ffill, macro_channel, news_ingest_explode, news_ingest_whole, session_snap, news_window_features, trailing_median, entity_prior, neutralize, cosine_edges, story_components,
            story_representatives, equal_weight_backtest, cost_models, walk_forward, portfolio_metrics, covariance_forecast, lognormal_moments, allocations, strategies_backtest, strategy_metrics, exposure, mask_renormalized, event_windows, rolling_quantile_bars)
     return {f.__name__: f for f in own} | {n: spark_report(n) for n in REPORTS}
 

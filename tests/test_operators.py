@@ -1,3 +1,4 @@
+import hashlib
 import math
 from datetime import date, timedelta
 
@@ -156,3 +157,14 @@ def test_naive_curves_and_pooled_moments(spark):
     assert got.n == n and got.n_assets == 2
     assert got.excess_kurtosis == pytest.approx((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6))
     assert baselines.standardized_returns(panel(spark), 1000).count() == 0
+
+
+def test_whole_texts_reach_the_ingest(spark, tmp_path):
+    from tessera.plans import queries
+
+    texts = {1: "Title line\n" + "long body " * 50, 2: "no second line " * 10, 3: "\n  only a body, past forty characters of text\nand more", 4: " \n ", 5: None}
+    rows = [(i, t, "en", "s") for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {int(r.article_id): (r.n_chars, r.text_md5) for r in queries.queries()["news_ingest_whole"](spark, str(tmp_path)).collect()}
+    want = {1: "Title line. " + ("long body " * 50).strip(), 2: ("no second line " * 10).strip(), 3: "only a body, past forty characters of text\nand more"}
+    assert got == {i: (len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in want.items()}
