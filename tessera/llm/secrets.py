@@ -1,7 +1,9 @@
 """Secret scans: a random forest over candidate strings, DataFrame operations only.
 
-Candidates are runs of 16 or more characters of credentials' alphabets with a digit and a
-letter.  Features: length, shares and transitions of character classes, runs of consonants,
+Candidates are (1) values assigned to a name with a cue such as token or password, of any
+length and any signs; (2) strings with a known prefix (AKIA, ghp_, sk-, eyJ ...); (3) runs of
+16 or more characters of credentials' alphabets that do not lie in one of (1) or (2).
+Features: length, shares and transitions of character classes, runs of consonants,
 dictionary coverage, the path, and the words around.  A forest trained from labelled
 findings gives each candidate a probability; those under ``least`` are false positives.
 
@@ -26,12 +28,20 @@ from pyspark.sql import functions as F
 
 from ._util import table
 
-CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9_\-+/]{14,}[A-Za-z0-9_\-+/=]"
-CUE = r"(?i)(token|secret|passw|pwd|api.?key|credential|auth|bearer|private|aws|access.?key)"
+_CUES = r"token|secret|passw|passphrase|passcode|pwd|api.?key|credential|auth(?!ors?(?![a-z]))|bearer|private|aws|access.?key"
+CUE = f"(?i)({_CUES})"
+# Patterns of two groups, what leads to the value and the value; simple loops, which Java runs without recursion.
+RUN = r"()([A-Za-z0-9](?:[A-Za-z0-9_\-+/]{14,}={1,2}(?![A-Za-z0-9\"'=])|[A-Za-z0-9_\-+/]{15,}))"
+PREFIX = r"(?:(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[A-Z2-7]{16}(?![A-Za-z0-9])|(?:gh[oprsu]_|github_pat_|glpat-|xox[abeoprs]-|sk-|[prs]k_(?:live|test)_|hf_|npm_|AIza|SG\.|eyJ)[A-Za-z0-9_\-+/.]{7,}[A-Za-z0-9_\-+/=]={0,2})"
+PREFIXED = f"()((?<![A-Za-z0-9]){PREFIX})"
+_LEAD = rf"(?i:{_CUES})[\w.\-]{{0,100}}(?:\\?[\"'`]|&quot;)?\]?[ \t]*(?:=>|:=|==?|:)[ \t]*(?:\\?[\"'`]|&quot;|&#39;)?"
+# Up to the same quote where it is closed in the line; else up to a blank, a quote, a tag, or an & before the next name=.
+ASSIGNED = rf"({_LEAD}(?:(?i:bearer|basic)[ \t]+)?)((?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|[^\s\"'`&<]++(?:(?:&(?!quot;|#39;|amp;|[\w.\-]{{1,100}}=)|<(?![/a-zA-Z!]))[^\s\"'`&<]*+){{0,64}})"
 HARMLESS = r"(?i)(commit|sha-?\d|md5|checksum|digest|uuid|hash|example|sample|placeholder|build|href|src|url|isbn|etag)"
 WORDS = ("the and ing tion with that this from have which their about would there other image page index content article section title button header footer value "
          "string default config user name file path data test example number order version release build author report system public").split()
-NAMES = ("n", "upper", "lower", "digit", "other", "changes", "consonants", "hex", "covered", "capital_block", "path_depth", "path_test", "cue_before", "harmless_near", "assigned", "quoted")
+NAMES = ("n", "upper", "lower", "digit", "other", "changes", "consonants", "hex", "covered", "capital_block", "path_depth", "path_test", "cue_before", "harmless_near", "assigned", "quoted",
+         "signs", "prefix", "named", "names", "dotted")
 
 
 def features() -> dict[str, Column]:
@@ -56,6 +66,11 @@ def features() -> dict[str, Column]:
         "harmless_near": F.greatest(flag("before", HARMLESS), flag("after", HARMLESS), flag("value", r"(?i)example|xxxx|0000|1234567")),
         "assigned": flag("before", r"[:=]\s*[\"']?$"),
         "quoted": flag("before", r"[\"']$"),
+        "signs": share(r"[^A-Za-z0-9_\-+/=.()\s]"),
+        "prefix": flag("value", f"^{PREFIX}"),
+        "named": flag("before", f"{_LEAD}(?:(?i:bearer|basic)[ \\t]+)?$"),
+        "names": flag("after", r"^\\?[\"']?\]?[ \t]*[:=]"),
+        "dotted": share(r"[.()\[\]{}<>\s]"),
     }
     return {k: cols[k] for k in NAMES}
 
@@ -69,13 +84,18 @@ def built_in_findings(spark: SparkSession, n: int = 1_600, seed: int = 7) -> Dat
     cue = lambda: r.choice(["token", "secret", "password", "api_key", "auth", "access_key"]) + r.choice([' = "', '="', ": ", "=", ' = "'])
     uuid = lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
     word = lambda: some(low, r.randint(3, 8))
+    name = lambda: r.choice(["aws_secret_access_key", "stripe_secret_api_key", "db_password", "client-secret", "auth.token"]) + r.choice([' = "', "=", ": ", '": "'])
+    signs = "!@#%^*?~$&"
     good = [
         lambda: (r.choice([prose() + " ", "", cue()]), "AKIA" + some(up + "234567", 16)),
-        lambda: (prose() + " " + cue(), some("0123456789abcdef", r.choice([32, 40, 64]))),
-        lambda: (prose() + " " + cue(), some(up + low + dig + "+/", 40)),
+        lambda: (prose() + " " + r.choice([cue, name])(), some("0123456789abcdef", r.choice([32, 40, 64]))),
+        lambda: (prose() + " " + r.choice([cue, name])(), some(up + low + dig + "+/", 40)),
         lambda: (r.choice([prose() + " ", cue()]), "ghp_" + some(up + low + dig, 36)),
         lambda: (r.choice([prose() + " ", cue()]), r.choice(["sk-", "sk_live_", "xoxb-"]) + some(up + low + dig, 32)),
-        lambda: ("authorization bearer ", "eyJ" + some(up + low + dig + "_-", 40)),
+        lambda: ("authorization bearer ", "eyJ" + some(up + low + dig + "_-", 40) + r.choice(["", "." + some(up + low + dig + "_-", 30)])),
+        lambda: (prose() + " " + r.choice([cue, name])(), some(up + low, r.randint(14, 40))),
+        lambda: (prose() + " " + r.choice([cue, name])(), some(up + low + dig, r.randint(4, 7)) + r.choice(signs) + some(up + low + dig, r.randint(3, 8))),
+        lambda: (prose() + " " + r.choice([cue, name])(), some(up + low + dig, r.randint(5, 12)) + r.choice(dig) + r.choice(up + low)),
     ]
     bad = [
         lambda: (prose() + " uuid ", uuid()),
@@ -86,12 +106,18 @@ def built_in_findings(spark: SparkSession, n: int = 1_600, seed: int = 7) -> Dat
         lambda: (prose() + " ", "_".join([word(), word(), word() + some(dig, 2)])),
         lambda: (prose() + " ", some(low, r.randint(16, 26)) + some(dig, r.randint(1, 3))),
         lambda: (prose() + " ", some(dig, r.randint(4, 8)) + "-" + some(dig, 6) + "-" + word()),
+        lambda: (r.choice([cue, name])(), r.choice([some(low, r.randint(1, 10)), word().capitalize(), prose()])),
+        lambda: (r.choice([cue, name])(), r.choice(["true", "false", "null", "None", "required", "undefined", "getToken()", "os.environ[", "process.env.API_KEY", "self.token", "changeme", "%API_KEY%", word() + "." + word() + "()"])),
+        lambda: (prose() + " ", r.choice(["_", "-", "/"]).join([word() + some(low, 3) for _ in range(r.randint(3, 6))])),
+        lambda: (prose() + " ", r.choice([some(low, r.randint(16, 30)), "".join(word().capitalize() for _ in range(5))])),
+        lambda: (prose() + " ", some(dig, r.randint(16, 20))),
+        lambda: (prose() + " ", word() + r.choice(["_secret_", "_access_token_", "_api_key_"]) + word() + some(low, 5), r.choice(["=", ": ", '": "', " = "])),
     ]
     rows = []
     for i in range(n):
-        before, value = r.choice(good if i % 2 else bad)()
+        before, value, *after = r.choice(good if i % 2 else bad)()
         path = r.choice(["src0", "web/page", "src/main/app.py", "tests/fixture.py", "docs/readme"]) if i % 5 else ""
-        rows.append("('" + "', '".join(x.replace("'", "") for x in (before[-40:], value, r.choice(['"', " ", "\\n", ""]), path)) + f"', {i % 2})")
+        rows.append("('" + "', '".join(x.replace("'", "") for x in (before[-40:], value, after[0] if after else r.choice(['"', " ", "\\n", ""]), path)) + f"', {i % 2})")
     return spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS t(before, value, after, path, label)")
 
 
@@ -104,17 +130,36 @@ def train(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 
+def _places(pattern: str) -> Column:
+    """start, value of every match in t."""
+    group = lambda i: F.regexp_extract_all("t", F.lit(pattern), F.lit(i))
+    parts = F.arrays_zip(F.split("t", pattern).alias("gap"), group(1).alias("lead"), group(2).alias("value"))
+    none = F.expr("struct(0 AS at, cast(array() AS array<struct<start: int, value: string>>) AS found)")
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["gap"]) + F.length(x["lead"])
+        return F.struct((start + F.length(x["value"])).alias("at"), F.array_append(s["found"], F.struct(start.alias("start"), x["value"].alias("value"))).alias("found"))
+
+    # the last gap has no match after it
+    found = F.aggregate(F.filter(parts, lambda x: x["value"].isNotNull()), none, step, lambda s: s["found"])
+    return F.when(F.col("t").rlike(pattern), found).otherwise(F.expr("cast(array() AS array<struct<start: int, value: string>>)"))
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", around: int = 40) -> DataFrame:
     """doc_id, path, start (in characters, from 0), before, value, after of every candidate."""
-    pattern = F.lit(f"({CANDIDATE})")
-    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("t")).where(F.col("t").rlike(CANDIDATE))
-    d = d.select("doc_id", "path", F.regexp_extract_all("t", pattern, F.lit(1)).alias("vs"), F.split("t", CANDIDATE).alias("gaps"))
-    one = d.select("doc_id", "path", F.explode(F.expr("""
-      aggregate(sequence(1, size(vs)), struct(0 AS at, cast(array() AS array<struct<start: int, before: string, value: string, after: string>>) AS found), (s, i) -> struct(
-        s.at + length(gaps[i - 1]) + length(vs[i - 1]) AS at,
-        CASE WHEN vs[i - 1] RLIKE '[0-9]' AND vs[i - 1] RLIKE '[A-Za-z]' THEN
-          array_append(s.found, named_struct('start', s.at + length(gaps[i - 1]), 'before', right(gaps[i - 1], %d), 'value', vs[i - 1], 'after', left(gaps[i], %d))) ELSE s.found END AS found), s -> s.found)
-    """ % (around, around))).alias("c"))
+    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("t")).where(F.col("t").rlike(f"{RUN}|{PREFIXED}|{ASSIGNED}"))
+    d = d.select("*", _places(ASSIGNED).alias("assigned"), _places(PREFIXED).alias("prefixed"), _places(RUN).alias("runs"))
+    trimmed = F.transform("assigned", lambda c: F.struct(c["start"].alias("start"), F.regexp_replace(c["value"], r"[,;\\]++$", "").alias("value")))
+    d = d.withColumn("assigned", F.filter(trimmed, lambda c: c["value"] != ""))
+    end = lambda c: c["start"] + F.length(c["value"])
+    inside = lambda c, a: (a["start"] <= c["start"]) & (end(c) <= end(a))
+    # a run in a passphrase or a sentence stays a candidate of its own
+    runs = F.filter("runs", lambda c: ~F.exists("prefixed", lambda a: inside(c, a)) & ~F.exists("assigned", lambda a: inside(c, a) & ((c["value"] == a["value"]) | ~a["value"].rlike(r"\s"))))
+    prefixed = F.filter("prefixed", lambda c: ~F.exists("assigned", lambda a: (a["start"] == c["start"]) & (a["value"] == c["value"])))
+    at = lambda c: F.struct(
+        c["start"].alias("start"), F.substring("t", F.greatest(c["start"] - around, F.lit(0)) + 1, F.least(c["start"], F.lit(around))).alias("before"),
+        c["value"].alias("value"), F.substring("t", end(c) + 1, F.lit(around)).alias("after"))
+    one = d.select("doc_id", "path", F.explode(F.transform(F.concat("assigned", prefixed, runs), at)).alias("c"))
     return one.select("doc_id", "path", "c.start", "c.before", "c.value", "c.after")
 
 
