@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY, TIME = "asset", "date"
@@ -51,7 +52,7 @@ def ewm(x: Column, span: int, n: Column, key: str = KEY, time: str = TIME) -> Co
 
     ``n`` counts the values so far (1 at the first).  The closed form sums x_i w_i / (1-a)^(i-1)
     and is exact as long as (1-a)^n is a normal double: about 7,000 rows at span 20; use
-    :func:`tessera.operators.trend.ewm_long` beyond.
+    :func:`ewm_long` beyond.
     """
     a = 2.0 / (span + 1)
     win = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
@@ -59,6 +60,26 @@ def ewm(x: Column, span: int, n: Column, key: str = KEY, time: str = TIME) -> Co
     return F.when(x.isNotNull() & (n >= span), F.sum(part).over(win) * F.pow(F.lit(1 - a), (n - 1).cast("double")))
 
 
+def ewm_long(rows: DataFrame, x: str, span: int, n: str, out: str, key: str = KEY, time: str = TIME) -> DataFrame:
+    """rows and ``out``: :func:`ewm` for series of any length.
+
+    The closed form holds in blocks of values over which (1-a) falls to 1e-150 at most, and the
+    blocks' last values are folded; in the first block the result is that of :func:`ewm`.
+    """
+    a = 2.0 / (span + 1)
+    size = max(1, int(150 * math.log(10) / -math.log(1 - a))) if a < 1 else 1
+    keep, at = F.lit(1 - a), F.col("_r").cast("double")
+    r = rows.withColumn("_b", F.floor((F.col(n) - 1) / size)).withColumn("_r", F.col(n) - 1 - F.col("_b") * size)
+    block = Window.partitionBy(key, "_b").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    part = F.col(x) * F.when(F.col(n) == 1, F.lit(1.0)).otherwise(F.lit(a)) * F.pow(keep, -at)
+    r = r.withColumn("_l", F.sum(part).over(block) * F.pow(keep, at))
+    before = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_c", F.collect_list(F.when(F.col(x).isNotNull() & (F.col("_r") == size - 1), F.col("_l"))).over(before))
+    carry = F.aggregate("_c", F.lit(0.0), lambda s, last: s * F.lit((1 - a) ** size) + last)
+    value = F.when(F.size("_c") > 0, F.col("_l") + carry * F.pow(keep, at + 1)).otherwise(F.col("_l"))
+    return r.withColumn(out, F.when(F.col(x).isNotNull() & (F.col(n) >= span), value)).drop("_b", "_r", "_l", "_c")
+
+
 def hold(direction: Column, n: int, key: str = KEY, time: str = TIME) -> Column:
     """Carries a non-zero label forward over at most n - 1 rows."""
     if n <= 1:

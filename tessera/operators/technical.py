@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import clip, ewm, lag, log_return, ordered, ratio, roll, zscore
+from ..functions.rolling import clip, ewm_long, lag, log_return, ordered, ratio, roll, zscore
 
 FEATURES = ("ret_close ret_oc ret_overnight ret_adj hl_range vol_change amihud mom_5 mom_20 roll_vol roll_mean_ret rel_volume rsi atr z_ret z_volume ma_ratio").split()
 
@@ -91,9 +91,9 @@ def macd(path: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
     """macd, macd_signal, hist of column ``path`` (nulls before the first value)."""
     so_far = ordered().rowsBetween(Window.unboundedPreceding, 0)
     p = path.withColumn("_n", F.count("path").over(so_far))
-    p = p.withColumn("macd", ewm(F.col("path"), fast, F.col("_n")) - ewm(F.col("path"), slow, F.col("_n")))
+    p = ewm_long(ewm_long(p, "path", fast, "_n", "_f"), "path", slow, "_n", "_s").withColumn("macd", F.col("_f") - F.col("_s"))
     p = p.withColumn("_m", F.count("macd").over(so_far))
-    return p.withColumn("macd_signal", ewm(F.col("macd"), signal, F.col("_m"))).withColumn("hist", F.col("macd") - F.col("macd_signal")).drop("_n", "_m")
+    return ewm_long(p, "macd", signal, "_m", "macd_signal").withColumn("hist", F.col("macd") - F.col("macd_signal")).drop("_n", "_m", "_f", "_s")
 
 
 def imacd(bars: DataFrame, window: int = 126, fast: int = 20, slow: int = 50, signal: int = 15) -> DataFrame:

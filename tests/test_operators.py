@@ -50,6 +50,28 @@ def test_ewm_equals_recursion(spark):
         assert got[i] is None if i < 4 else got[i] == pytest.approx(y)
 
 
+def test_macd_of_a_long_series_equals_recursion(spark):
+    n = 12_000
+    x = 5 + np.cumsum(np.random.default_rng(7).normal(0, 0.01, n))
+    x[3000:3010] = np.nan
+    rows = [("A", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
+    got = technical.macd(spark.createDataFrame(rows, "asset string, date int, path double"), 20, 50, 15).orderBy("date").collect()
+
+    def fold(values, span):
+        y, seen, out = None, 0, []
+        for v in values:
+            if v is not None:
+                y, seen = v if y is None else y + (v - y) * 2 / (span + 1), seen + 1
+            out.append(y if v is not None and seen >= span else None)
+        return out
+
+    path = [r[2] for r in rows]
+    macd = [None if f is None or s is None else f - s for f, s in zip(fold(path, 20), fold(path, 50))]
+    for r, m, s in zip(got, macd, fold(macd, 15), strict=True):
+        for a, b in ((r.macd, m), (r.macd_signal, s)):
+            assert a is None if b is None else a == pytest.approx(b, abs=1e-9)
+
+
 def test_hold_and_run_length(spark):
     d = spark.createDataFrame([("A", i, v) for i, v in enumerate([0, 1, 0, 0, -1, 0, 1, 1, 1])], "asset string, date int, d int")
     got = d.select("date", rolling.hold(F.col("d"), 3).alias("h"), rolling.run_length_gate(F.col("d"), 3).alias("g")).orderBy("date").collect()
