@@ -7,8 +7,9 @@ towards its site's prior, which is smoothed towards the overall one.  (2) to (4)
 conditional counts over the whole table by grouped aggregation, so a declaration or suffix
 weighs as much as it has proved to agree with the texts.
 
-``max_labelled`` bounds the labelled documents that the trigram model is fitted on (by hash
-of the id).  A row is rejected where its text has no letters or the best posterior is
+``max_labelled`` is how many labelled documents of each language, about, the trigram model is
+fitted on (drawn by hash of the id, all of a language with fewer); every language that labels
+a row has a model.  A row is rejected where its text has no letters or the best posterior is
 under ``least``.
 
 Defined results: null, empty and letterless texts have language null and are rejected;
@@ -67,20 +68,22 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("t", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_labelled: int = 4_000, max_langs: int = 64) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_labelled: int = 4_000) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities by bucket."""
-    ids = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k")).orderBy(F.xxhash64("k", F.lit("langid"))).limit(max_labelled)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")).where("lang is not null").join(F.broadcast(ids.distinct()), "k", "left_semi")
+    h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text)), F.lit("langid"))
+    rows = docs.select(h.alias("h"), F.col(text).alias("t"), F.col(lang).alias("lang")).where("lang is not null")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct("h").alias("n")).collect()}
+    langs = sorted(counts)
+    # hashes are even over the longs, so those up to the bound are max_labelled ids of n, about
+    bounds = [(x, int(-(2**63) + max_labelled / n * 2**64)) for x, n in counts.items() if n > max_labelled]
+    if bounds:
+        b = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+        rows = rows.join(F.broadcast(b), "lang", "left").where("bound is null or h <= bound")
     got = trigram_counts(rows).collect()
-    totals: dict[str, int] = {}
-    for r in got:
-        totals[r["lang"]] = totals.get(r["lang"], 0) + r["n"]
-    langs = sorted(sorted(totals, key=lambda x: (-totals[x], x))[:max_langs])
     c = np.full((len(langs), BUCKETS), 0.5)
     at = {x: i for i, x in enumerate(langs)}
     for r in got:
-        if r["lang"] in at:
-            c[at[r["lang"]], r["bucket"]] += r["n"]
+        c[at[r["lang"]], r["bucket"]] += r["n"]
     return langs, np.log(c / c.sum(axis=1, keepdims=True)) if langs else c
 
 

@@ -288,6 +288,19 @@ def test_language_evidence(spark, docs, empty):
     assert langid.identify_documents(docs).count() == docs.count()
 
 
+def test_rare_and_many_languages_have_models(spark):
+    rng = np.random.default_rng(9)
+    say = lambda v: " ".join(rng.choice(v, 40))
+    vocabulary = {"en": ["the", "thing", "other", "with"], "is": ["það", "ekki", "þetta", "hún"]}
+    rows = [(i, say(vocabulary["en" if i < 2000 else "is"]), "en" if i < 2000 else "is", "s", 1, "r", 1) for i in range(2004)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    assert langid.fit(d, max_labelled=40)[0] == ["en", "is"]
+    got = {r.doc_id: r for r in langid.identify_documents(d, max_labelled=40).collect()}
+    assert all(r.accepted and r.language == rows[i][2] for i, r in got.items())
+    many = spark.createDataFrame([(i, f"word{i}", f"l{i % 70:02d}", "s", 1, "r", 1) for i in range(140)], SCHEMA)
+    assert langid.fit(many)[0] == [f"l{i:02d}" for i in range(70)]
+
+
 def test_secret_forest_on_held_out_findings(spark, docs, empty):
     model = secrets.train(secrets.built_in_findings(spark))
     test = secrets.built_in_findings(spark, 600, seed=99)
