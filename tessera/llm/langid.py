@@ -43,15 +43,18 @@ def plain(text: str) -> str:
 
 
 def trigrams(text: str) -> np.ndarray:
-    """Bucket of each trigram that holds a letter."""
-    a = np.frombuffer(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS), np.uint8).astype(np.uint32)
-    if len(a) < 3:
-        return np.empty(0, np.int64)
+    """Bucket of each trigram that holds a letter, the text between two blanks."""
+    a = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS) + b" ", np.uint8).astype(np.uint32)
     keep = (a[1:-1] != 32) | ((a[:-2] != 32) & (a[2:] != 32))
     h = (a[:-2] * np.uint32(65599 * 65599 % 2**32) + a[1:-1] * np.uint32(65599) + a[2:]) * np.uint32(2654435761)
     return (h[keep] >> np.uint32(19)).astype(np.int64)
 
 
+def letters(text: str) -> int:
+    """How many letters of any script a text has."""
+    return sum(map(str.isalpha, text))
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """lang, bucket, n of rows (t, lang); summed in each task before the shuffle."""
 
@@ -97,12 +100,13 @@ def text_evidence(rows: DataFrame, langs: list[str], model: np.ndarray, strength
             lls, ns = [], []
             for x in b.column(len(rest)):
                 t = x.as_py() or ""
-                g = trigrams(plain(t) if markup else t)
+                t = plain(t) if markup else t
+                g = trigrams(t)
                 counts = np.bincount(g, minlength=BUCKETS)
                 at = np.flatnonzero(counts)
                 v = model[:, at] @ counts[at] if len(at) and len(langs) else np.zeros(len(langs))
                 v = v / max(1.0, len(g) / strength)
-                lls.append(v - v.max() if len(v) else v), ns.append(len(g))
+                lls.append(v - v.max() if len(v) else v), ns.append(letters(t))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(lls, pa.list_(pa.float64())), pa.array(ns, pa.int64())], names=[*rest, "ll", "letters"])
 
     return rows.select(*rest, "t").mapInArrow(run, f"{kinds}, ll array<double>, letters long")

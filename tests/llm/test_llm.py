@@ -301,6 +301,18 @@ def test_rare_and_many_languages_have_models(spark):
     assert langid.fit(many)[0] == [f"l{i:02d}" for i in range(70)]
 
 
+def test_short_texts_with_a_letter_are_not_letterless(spark):
+    rng = np.random.default_rng(4)
+    v = {"de": ["der", "schön", "nicht", "und"], "en": ["the", "thing", "other", "with"]}
+    rows = [(i, " ".join(rng.choice(v["en" if i % 2 else "de"], 40)), "en" if i % 2 else "de", "s", 1, "r", 1) for i in range(60)]
+    short = ["A.", "A", "A .", "ß"]
+    none = [".", "1 2 3", "\u2026 \u2014", "", "\n"]
+    rows += [(100 + i, t, "en", "s", 1, "r", 1) for i, t in enumerate(short + none)]
+    got = {r.doc_id: r for r in langid.identify_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(got[100 + i].language, got[100 + i].accepted) for i in range(3)] == [("en", True)] * 3 and got[103].language is not None
+    assert all(got[104 + i].language is None and not got[104 + i].accepted for i in range(len(none)))
+
+
 def test_secret_forest_on_held_out_findings(spark, docs, empty):
     model = secrets.train(secrets.built_in_findings(spark))
     test = secrets.built_in_findings(spark, 600, seed=99)
