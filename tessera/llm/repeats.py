@@ -5,27 +5,34 @@ A byte goes if a string of ``length`` bytes that covers it also starts elsewhere
 1. Every such string has one *anchor*: the leftmost smallest hash of its ``K``-byte
    substrings.  Equal strings have their anchor at the same distance, so only suffixes at
    anchors (about one in 185 bytes) have to be sorted.  An anchor serves a range of string
-   starts; the bytes these strings cover are its span.
-2. Anchors with equal spans are one class, found by grouped counts: all their strings
-   repeat.  A class alone with its anchor's substring has no repeat.  What is left are
-   spans that agree with others in part, where repeated passages begin and end.
+   starts; the bytes these strings cover are its span.  An anchor whose substring occurs
+   once in the corpus has no partner and is dropped.
+2. Spans that agree in 128 bits of hash are one class, so that copies don't meet again; one
+   member stands for it, and a second one where there are more, whose bytes the merge compares.
 3. Their suffixes (from the anchor on) are sorted in each map task, exchanged as front-coded
    runs by anchor substring, and merged with a loser tree that keeps, for every run, the
    prefix length known to be shared with the last output and never compares it again.
-4. In merged order suffixes that can hold equal strings are neighbours, and their common
-   prefix bounds which strings can repeat; these are compared at equal distance from the
-   anchor by 64-bit hashes.
-
-Groups of more than ``hot`` different spans with one anchor substring don't go to one task:
-their strings' hashes are counted by a grouped aggregation instead.
+4. The common prefixes that the merge yields decide.  Suffixes of one anchor substring are
+   neighbours; what they share to the left comes from a sort of their left contexts.  A string
+   that begins d bytes before the anchor repeats if some other suffix shares d bytes to
+   the left and ``length`` - d to the right (:func:`repeated_distances`).
+5. A class's verdict goes back to all its members.
+
+At most ``room`` suffixes of one anchor substring meet in a task.  A larger group is refined:
+the strings' starts are halved into those near the anchor and those further left, which get a
+sort point of their own, so that all strings of a half have a longer substring in common; the
+halves are grouped by that and treated as above.  With a single start left, the substring is
+the string itself and its group one class, so this ends after at most ten rounds.
 
 Defined results: a null or empty text has no bytes and the hash of the empty string; rows
-that repeat are strings elsewhere, so both lose them; an empty table gives an empty
-result; further columns are ignored.
+that repeat are strings elsewhere, so both lose them; a very long text is cut into segments
+for the hashes only; an empty table gives an empty result; further columns are ignored.  The
+kept text leaves out characters that are cut in two.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -39,6 +46,7 @@ from ._util import mix64, stored, table
 
 K = 32
 SEGMENT = 1 << 19
+RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats", "kept_text"]
 _TABLE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -64,8 +72,13 @@ def substring_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return mix64((sums[end] - sums[start]) * _powers(len(sums))[1][start])
 
 
+def _placed(x: np.ndarray, before: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A span's hash and its geometry: bytes before the sort point, string starts less one."""
+    return mix64(x ^ (np.asarray(before, np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.asarray(starts, np.uint64) * np.uint64(0xA0761D6478BD642F)))
+
+
 def anchors(raw: bytes, length: int) -> list[np.ndarray]:
-    """Columns lo, hi, a, kh, xh: string starts lo..hi have their anchor at a."""
+    """Columns lo, hi, s, g, x: string starts lo..hi have their anchor at s; g hashes the anchor's substring, x the span."""
     whole = np.frombuffer(raw, np.uint8)
     w, parts = length - K + 1, []
     for base in range(0, len(whole) - length + 1, SEGMENT):
@@ -87,13 +100,13 @@ def anchors(raw: bytes, length: int) -> list[np.ndarray]:
         hi = np.concatenate([lo[1:], [n]]) - 1
         a = at[lo]
         x = substring_hashes(prefix_sums(arr), lo, hi + length)
-        x = mix64(x ^ ((a - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ ((hi - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        x = _placed(x, a - lo, hi - lo)
         parts.append((lo + base, hi + base, a + base, h[a].view(np.int64), x.view(np.int64)))
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
 def anchor_table(rows: DataFrame, length: int) -> DataFrame:
-    """row, lo, hi, a, kh, xh of rows (row, t)."""
+    """row, lo, hi, s, g, x of rows (row, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,14 +119,14 @@ def anchor_table(rows: DataFrame, length: int) -> DataFrame:
                         ids.append(np.full(len(c[0]), r.as_py(), np.int64))
                         cols.append(c)
                 if cols:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, *zip(*cols, strict=True))], names=["row", "lo", "hi", "a", "kh", "xh"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, *zip(*cols, strict=True))], names=["row", "lo", "hi", "s", "g", "x"])
 
-    return rows.mapInArrow(run, "row long, lo long, hi long, a long, kh long, xh long")
+    return rows.mapInArrow(run, "row long, lo long, hi long, s long, g long, x long")
 
 
 # --- front-coded runs --------------------------------------------------------------
 
-_HEAD = struct.Struct("<IIIqqqqq?")
+_HEAD = struct.Struct("<IIIIqqIIq")
 
 
 def common_prefix(x: bytes, y: bytes, at: int = 0) -> int:
@@ -129,25 +142,26 @@ def common_prefix(x: bytes, y: bytes, at: int = 0) -> int:
 
 
 def encode_run(items: list[tuple]) -> bytes:
-    """Front-codes sorted (suffix, left, row, lo, hi, a, kh, alone)."""
-    out, last = [], b""
-    for suffix, left, row, lo, hi, a, kh, alone in items:
-        same = common_prefix(last, suffix)
-        out += (_HEAD.pack(same, len(suffix) - same, len(left), row, lo, hi, a, kh, alone), suffix[same:], left)
-        last = suffix
+    """Front-codes sorted (suffix, reversed left context, g, x, least, most, members)."""
+    out, last, before = [], b"", b""
+    for suffix, left, g, x, least, most, members in items:
+        same, back = common_prefix(last, suffix), common_prefix(before, left)
+        out += (_HEAD.pack(same, len(suffix) - same, back, len(left) - back, g, x, least, most, members), suffix[same:], left[back:])
+        last, before = suffix, left
     return b"".join(out)
 
 
 def decode_run(blob: bytes) -> Iterator[tuple]:
-    """(suffix, prefix shared with the one before, (left, row, lo, hi, a, kh, alone)) in order."""
-    at, last = 0, b""
+    """(suffix, prefix shared with the one before, (left, g, x, least, most, members)) in order."""
+    at, last, left = 0, b"", b""
     while at < len(blob):
-        same, rest, nleft, row, lo, hi, a, kh, alone = _HEAD.unpack_from(blob, at)
+        same, rest, back, more, g, x, least, most, members = _HEAD.unpack_from(blob, at)
         at += _HEAD.size
         last = last[:same] + blob[at : at + rest]
         at += rest
-        yield last, same, (blob[at : at + nleft], row, lo, hi, a, kh, alone)
-        at += nleft
+        left = left[:back] + blob[at : at + more]
+        at += more
+        yield last, same, (left, g, x, least, most, members)
 
 
 def merge_runs(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
@@ -186,7 +200,7 @@ def merge_runs(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
         return i
 
     top = build(1) if k > 1 else 0
-    while heads[top] is not None:
+    while k and heads[top] is not None:
         suffix, _, payload = heads[top]
         yield suffix, known[top], payload
         heads[top] = nxt = next(runs[top], None)
@@ -198,38 +212,64 @@ def merge_runs(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
-# --- comparison of neighbours ------------------------------------------------------
+# --- what the common prefixes say ------------------------------------------------------
 
 
-def repeated_in(members: list[tuple], length: int) -> Iterator[tuple[int, int, int]]:
-    """(row, first, last) string starts that repeat among members (group, bound, span, row, lo, hi, a, alone).
+def repeated_distances(lefts: list[bytes], shared: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """(member, least, most): strings that begin least..most bytes before the sort point repeat.
 
-    ``bound`` is the longest prefix that the suffix shares with a neighbour in sorted
-    order: a string d bytes before the anchor can repeat only if length - d is within it.
+    Members are in the order of their suffixes, ``shared[i]`` is the prefix that member i shares
+    with the one before, ``lefts`` are left contexts, reversed.  Neighbours in the order of the
+    left contexts are joined, those that share most first: when a set is joined at ``d``, all its
+    members share d bytes to the left, and a member's best partner is next to it in the order of
+    suffixes.  The smaller set is put into the larger one, member by member.
     """
-    if not members:
+    m = len(lefts)
+    if m == 2:
+        d = common_prefix(*lefts)
+        if shared[1] + d >= length:
+            yield 0, max(0, length - shared[1]), d
+            yield 1, max(0, length - shared[1]), d
         return
-    data = np.frombuffer(b"".join(m[2] for m in members), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(m[2]) for m in members])])[:-1]
-    group, bound, lo, hi, a = (np.array([m[i] for m in members], np.int64) for i in (0, 1, 4, 5, 6))
-    hi = np.minimum(hi, a - (length - bound))
-    count = np.maximum(hi - lo + 1, 0)
-    owner = np.repeat(np.arange(len(members)), count)
-    p = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + lo[owner]
-    start = offs[owner] + p - lo[owner]
-    h = substring_hashes(prefix_sums(data), start, start + length)
-    key = mix64(h ^ ((a[owner] - p).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ mix64(group[owner].view(np.uint64)))
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    alone = np.array([m[7] for m in members], bool)
-    twice = np.flatnonzero((n[back.reshape(-1)] > 1) & alone[owner])
-    if len(twice):
-        cut = np.flatnonzero((np.diff(p[twice]) != 1) | (np.diff(owner[twice]) != 0)) + 1
-        for run in np.split(twice, cut):
-            yield members[owner[run[0]]][3], int(p[run[0]]), int(p[run[-1]])
-
-
-def sorted_runs(spans: DataFrame, parts: int, length: int, buffer: int = 48 << 20) -> DataFrame:
-    """part, run: front-coded sorted runs of rows (t, open: list of anchors); runs are cut where the buffer is full."""
+    rows = [shared]  # rows[k][i]: the least of shared[i : i + 2**k]
+    while 2 << (len(rows) - 1) <= m:
+        step, last = 1 << (len(rows) - 1), rows[-1]
+        rows.append(list(map(min, last, last[step:])))
+
+    def right(i: int, j: int) -> int:
+        k = (j - i).bit_length() - 1
+        return min(rows[k][i + 1], rows[k][j + 1 - (1 << k)])
+
+    order = sorted(range(m), key=lefts.__getitem__)
+    joins = sorted(((common_prefix(lefts[a], lefts[b]), at) for at, (a, b) in enumerate(zip(order, order[1:], strict=False))), reverse=True)
+    top, sets, best = list(range(m)), {at: [r] for at, r in enumerate(order)}, [0] * m
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for d, at in joins:
+        a, b = find(at), find(at + 1)
+        if len(sets[a]) < len(sets[b]):
+            a, b = b, a
+        top[b] = a
+        into = sets[a]
+        for r in sets.pop(b):
+            i = bisect.bisect_left(into, r)
+            for near in into[max(i - 1, 0) : i + 1]:
+                n = right(near, r) if near < r else right(r, near)
+                for x in (near, r):
+                    if n > best[x]:
+                        best[x] = n
+                        if n + d >= length:
+                            yield x, max(0, length - n), d
+            into.insert(i, r)
+
+
+def sorted_runs(spans: DataFrame, parts: int, length: int, buffer: int = 32 << 20) -> DataFrame:
+    """part, run: front-coded sorted runs of rows (t, open: list of spans); runs are cut where the buffer is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -237,68 +277,134 @@ def sorted_runs(spans: DataFrame, parts: int, length: int, buffer: int = 48 << 2
 
         def out() -> Iterator[pa.RecordBatch]:
             for p in sorted(held):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([encode_run(sorted(held[p]))], pa.binary())], names=["part", "run"])
-            held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([encode_run(sorted(held.pop(p)))], pa.binary())], names=["part", "run"])
 
         for b in batches:
-            for r, t, found in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            for t, found in zip(b.column(0), b.column(1), strict=True):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 for x in found.as_py():
-                    lo, hi, a, kh = x["lo"], x["hi"], x["a"], x["kh"]
-                    held.setdefault(kh % parts, []).append((raw[a : hi + length], raw[lo:a], r.as_py(), lo, hi, a, kh, x["c"] == 1))
-                    size += hi + length - lo + 120
-                if size > buffer:
-                    yield from out()
-                    size = 0
+                    lo, hi, s, g = x["lo"], x["hi"], x["s"], x["g"]
+                    held.setdefault(g % parts, []).append((raw[s : hi + length], raw[lo:s][::-1], g, x["x"], s - hi, s - lo, x["members"]))
+                    size += hi + length - lo + 300
+                    if size > buffer:
+                        yield from out()
+                        size = 0
         yield from out()
 
     return spans.mapInArrow(run, "part int, run binary")
 
 
-def merged_repeats(runs: DataFrame, length: int, batch: int = 4_000) -> DataFrame:
-    """row, first, last from the runs of each part."""
+def merged_verdicts(runs: DataFrame, length: int, core: int) -> DataFrame:
+    """g, x, near, far, members: of class (g, x), strings that begin near..far bytes before the sort point repeat."""
 
     def one(t: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        ready: list[tuple] = []
-        group: list[list] = []
+        found: list[tuple[int, int, int, int, int]] = []
+        shared: list[int] = []
+        group: list[tuple] = []
 
         def close() -> None:
             if len(group) > 1:
-                ready.extend((kh, max(own, nxt), left + suffix, row, lo, hi, a, alone) for (suffix, own, (left, row, lo, hi, a, kh, alone)), nxt in zip(group, [g[1] for g in group[1:]] + [0], strict=True))
-            group.clear()
-            if len(ready) >= batch:
-                found.extend(repeated_in(ready, length))
-                ready.clear()
-
-        for suffix, same, payload in merge_runs([decode_run(r.as_py()) for r in t.column("run")]):
-            if group and (same < K or payload[5] != group[-1][2][5]):
+                for i, least, most in repeated_distances([p[0] for p in group], shared, length):
+                    _, g, x, own_least, own_most, members = group[i]
+                    least, most = max(least, own_least), min(most, own_most)
+                    if members and least <= most:
+                        found.append((g, x, least, most, members))
+            group.clear(), shared.clear()
+
+        for _, same, payload in merge_runs([decode_run(r.as_py()) for r in t.column("run")]):
+            if same < core:
                 close()
-            group.append((suffix, same if group else 0, payload))
+            shared.append(same)
+            group.append(payload)
         close()
-        found.extend(repeated_in(ready, length))
-        cols = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("row", "first", "last"), cols, strict=True)})
+        cols = list(zip(*found, strict=True)) or [()] * 5
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("g", "x", "near", "far", "members"), cols, strict=True)})
+
+    return runs.groupBy("part").applyInArrow(one, "g long, x long, near long, far long, members long")
+
+
+# --- classes, groups, refinement -------------------------------------------------------
 
-    return runs.groupBy("part").applyInArrow(one, "row long, first long, last long")
 
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, heavy: int = 5_000) -> DataFrame:
+    """rows joined with ``groups`` (unique keys; ``weight`` rows each): no key's rows have to meet in one task.
 
-def hashed_repeats(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """row, first, last of hot groups: one hash a string, counted by grouped aggregation."""
-    strings = spans.join(rows, "row").select("row", "c", "kh", "lo", "hi", "a", F.encode("t", "UTF-8").alias("b"))
-    strings = strings.select("row", "c", "kh", "a", F.explode(F.transform(F.sequence("lo", "hi"), lambda p: F.struct(p.alias("p"), F.xxhash64(F.substring(F.col("b"), (p + 1).cast("int"), F.lit(length))).alias("h")))).alias("s"))
-    strings = strings.select("row", "c", "kh", F.col("s.p").alias("p"), (F.col("a") - F.col("s.p")).alias("d"), F.col("s.h").alias("h"))
-    many = strings.groupBy("kh", "d", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh", "d", "h")
-    return strings.where("c = 1").join(many, ["kh", "d", "h"], "left_semi").select("row", F.col("p").alias("first"), F.col("p").alias("last"))
+    At most ``heavy`` keys can have more than one in ``heavy`` of the rows; these are broadcast,
+    the others are joined by shuffle.
+    """
+    total = groups.agg(F.sum(weight)).first()[0] or 0
+    many = F.broadcast(groups.where(F.col(weight) > total / heavy))
+    few = groups.where(F.col(weight) <= total / heavy)
+    return rows.join(many, keys).unionByName(rows.join(many.select(keys), keys, "left_anti").join(few, keys))
+
+
+def halves(rows: DataFrame, length: int, reach: int) -> DataFrame:
+    """Spans in halves of at most ``reach`` string starts, from rows (row, t, open); pg, px, ps, pm are the class, sort point and members they come from."""
+    core = length - reach + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row, t, found in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                raw = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
+                for f in found.as_py():
+                    lo, hi, s = f["lo"], f["hi"], f["s"]
+                    sums = prefix_sums(raw[lo : hi + length])
+                    for at, first, last in ((s, max(lo, s - reach + 1), hi), (s - reach, lo, min(hi, s - reach))):
+                        if first <= last:
+                            ends = np.array([[at, at + core], [first, last + length]]) - lo
+                            g, x = substring_hashes(sums, ends[:, 0], ends[:, 1])
+                            x = _placed(x, at - first, last - first)
+                            out.append((row.as_py(), first, last, at, g.view(np.int64), x.view(np.int64), f["g"], f["x"], s, f["members"]))
+            cols = list(zip(*out, strict=True)) or [()] * 10
+            names = "row lo hi s g x pg px ps pm".split()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    return rows.mapInArrow(run, "row long, lo long, hi long, s long, g long, x long, pg long, px long, ps long, pm long")
+
+
+def verdicts(spans: DataFrame, texts: DataFrame, length: int, reach: int, room: int) -> DataFrame:
+    """g, x, near, far, members of the classes of ``spans`` (row, lo, hi, s, g, x), whose strings begin less than ``reach`` bytes before s."""
+    spark = spans.sparkSession
+    member = F.struct("row", "lo", "hi", "s")
+    classes = stored(spans.groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"), F.min(member).alias("r1"), F.max(member).alias("r2")), "classes")
+    size = F.sum(F.when(F.col("c") > 1, 2).otherwise(1))
+    groups = stored(classes.groupBy("g").agg(size.alias("m"), F.count(F.lit(1)).alias("k")).where("m > 1"), "groups")
+    one, two = F.struct("r1.*", F.col("c").alias("members")), F.struct("r2.*", F.lit(0).cast("long").alias("members"))
+    both = F.when(F.col("c") > 1, F.array(one, two)).otherwise(F.array(one))
+    open_ = with_group(classes, groups, ["g"], "k").select("g", "x", "m", F.explode(both).alias("r")).select("g", "x", "m", "r.*")
+    open_ = stored(open_, "open")
+
+    def listed(spans: DataFrame) -> DataFrame:
+        by_row = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "s", "g", "x", "members")).alias("open"))
+        return texts.join(by_row, "row")
+
+    small = open_.where(F.col("m") <= room)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), small.count() // 10_000 + 1)
+    out = merged_verdicts(sorted_runs(listed(small).select("t", "open"), parts, length), length, length - reach + 1)
+    large = open_.where(F.col("m") > room)
+    if large.limit(1).count():
+        reach = -(-reach // 2)
+        finer = stored(halves(listed(large).select("row", "t", "open"), length, reach), "halves")
+        below = verdicts(finer.drop("pg", "px", "ps", "pm"), texts, length, reach, room)
+        up = spread(finer.where("pm > 0"), below).select(F.col("pg").alias("g"), F.col("px").alias("x"), (F.col("near") + F.col("ps") - F.col("s")).alias("near"), (F.col("far") + F.col("ps") - F.col("s")).alias("far"), F.col("pm").alias("members"))
+        out = out.unionByName(up)
+    return stored(out, "verdicts")
+
+
+def spread(spans: DataFrame, found: DataFrame) -> DataFrame:
+    """Each span with its class's verdicts."""
+    lists = stored(found.groupBy("g", "x").agg(F.collect_set(F.struct("near", "far")).alias("v"), F.max("members").alias("members")), "lists")
+    return with_group(spans, lists, ["g", "x"], "members").select(*spans.columns, F.explode("v").alias("v")).select(*spans.columns, "v.near", "v.far")
 
 
 def remove_spans(rows: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of rows (doc_id, t, cuts: list of first, last)."""
+    """The result columns of rows (doc_id, t, cuts: list of first, last)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, spans, shas = [], [], [], []
+            n, gone, spans, shas, kept = [], [], [], [], []
             for t, cuts in zip(b.column(1), b.column(2), strict=True):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 merged: list[list[int]] = []
@@ -307,32 +413,26 @@ def remove_spans(rows: DataFrame, length: int) -> DataFrame:
                         merged[-1][1] = max(merged[-1][1], c[1])
                     else:
                         merged.append([*c])
-                sha, at = hashlib.sha256(), 0
+                left, at = [], 0
                 for s, e in merged:
-                    sha.update(raw[at:s])
+                    left.append(raw[at:s])
                     at = e
-                sha.update(raw[at:])
-                n.append(len(raw)), gone.append(sum(e - s for s, e in merged)), spans.append(len(merged)), shas.append(sha.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rest = b"".join((*left, raw[at:]))
+                n.append(len(raw)), gone.append(sum(e - s for s, e in merged)), spans.append(len(merged)), shas.append(hashlib.sha256(rest).hexdigest())
+                kept.append(rest.decode("utf-8", "ignore"))
+            long = [pa.array(c, pa.int64()) for c in (n, gone, spans)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *long, pa.array(shas, pa.string()), pa.array([g > 0 for g in gone]), pa.array(kept, pa.string())], names=RESULT)
 
-    return rows.select("doc_id", "t", "cuts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", "t", "cuts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean, kept_text string")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", hot: int = 50_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    spark = docs.sparkSession
+def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", room: int = 20_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats, kept_text of every row."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(key, text).alias("row"))
     light = rows.select("row", "t")
     found = stored(anchor_table(light, length), "anchors")
-    classes = stored(found.groupBy("kh", "xh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo", "hi", "a")).alias("r")), "spans")
-    shared = classes.groupBy("kh").agg(F.count(F.lit(1)).alias("m"), F.max("c").alias("cm")).where("m > 1").select("kh", "m")
-    again = found.join(classes.where("c > 1").select("kh", "xh"), ["kh", "xh"], "left_semi").select("row", F.col("lo").alias("first"), F.col("hi").alias("last"))
-    partly = stored(classes.join(shared, "kh").select("kh", "c", "m", "r.row", "r.lo", "r.hi", "r.a"), "partly")
-    listed = partly.where(F.col("m") <= hot).groupBy("row").agg(F.collect_list(F.struct("kh", "lo", "hi", "a", "c")).alias("open"))
-    n_open = partly.where(F.col("m") <= hot).count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_open // 20_000 + 1)
-    runs = sorted_runs(light.join(listed, "row").select("row", "t", "open"), parts, length)
-    cuts = stored(again.union(merged_repeats(runs, length)).union(hashed_repeats(light, partly.where(F.col("m") > hot), length)), "cuts")
+    cuts = spread(found, verdicts(found, light, length, length - K + 1, max(2, room)))
+    cuts = cuts.select("row", (F.col("s") - F.col("far")).alias("first"), (F.col("s") - F.col("near")).alias("last"))
     by_row = cuts.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
     return remove_spans(rows.join(by_row, "row", "left"), length)
 

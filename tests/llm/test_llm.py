@@ -181,25 +181,38 @@ def brute_repeats(items, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [50_000, 0])
-def test_repeats_against_brute_force(spark, hot):
+@pytest.mark.parametrize("room", [20_000, 6, 2])
+def test_repeats_against_brute_force(spark, room):
+    """Also with groups so small that most are refined, down to single starts."""
     rng = np.random.default_rng(5)
     p = [words(rng, 30) for _ in range(6)]
     items = [p[0] + p[1] + p[2], p[3] + p[1] + p[4], p[1], "a" * 700, "b" * 90 + "a" * 650, None, "", p[5] + "é" + p[5], p[0] + p[1] + p[2], words(rng, 3000), p[2][5:] + p[4][:90]]
     d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], "doc_id long, text string, row long")
     want = brute_repeats(items, 100)
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(d, 100, hot=hot).collect()}
-    assert got == dict(enumerate(want))
+    got = repeats.remove_repeats(d, 100, room=room).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in got} == dict(enumerate(want))
+    assert all(r.has_repeats == (r.n_removed > 0) and (r.has_repeats or r.kept_text == (items[r.doc_id] or "")) for r in got)
+
+
+def test_distances_against_all_pairs():
+    """What joined neighbours say is what all pairs say."""
+    rng = np.random.default_rng(12)
+    for m in (2, 3, 17, 60):
+        items = sorted((bytes(rng.integers(97, 99, 14, dtype=np.uint8)), bytes(rng.integers(97, 99, rng.integers(0, 9), dtype=np.uint8))) for _ in range(m))
+        shared = [0, *(repeats.common_prefix(a[0], b[0]) for a, b in zip(items, items[1:], strict=False))]
+        got = {(i, d) for i, least, most in repeats.repeated_distances([x[1] for x in items], shared, 10) for d in range(least, most + 1)}
+        both = lambda a, b: range(max(0, 10 - repeats.common_prefix(a[0], b[0])), repeats.common_prefix(a[1], b[1]) + 1)
+        assert got == {(i, d) for i, a in enumerate(items) for j, b in enumerate(items) if i != j for d in both(a, b)}
 
 
 def test_merge_keeps_order_and_prefixes():
     rng = np.random.default_rng(6)
     strings = sorted(bytes(rng.integers(97, 99, rng.integers(0, 12), dtype=np.uint8)) for _ in range(200))
     runs = [sorted(strings[i::7]) for i in range(7)]
-    blobs = [repeats.encode_run([(s, b"L", 1, 2, 3, 4, 5, True) for s in r]) for r in runs]
+    blobs = [repeats.encode_run([(s, b"L", 1, 2, 3, 4, 5) for s in r]) for r in runs]
     last, out = b"", []
     for s, same, payload in repeats.merge_runs([repeats.decode_run(b) for b in blobs]):
-        assert same == repeats.common_prefix(last, s) and payload == (b"L", 1, 2, 3, 4, 5, True)
+        assert same == repeats.common_prefix(last, s) and payload == (b"L", 1, 2, 3, 4, 5)
         out.append(s)
         last = s
     assert out == strings
