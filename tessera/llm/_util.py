@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode where none is set (tests)."""
     sc = spark.sparkContext
     here = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not here:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
         here = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
@@ -44,6 +46,18 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, heavy: int = 5_000) -> DataFrame:
+    """rows joined with ``groups`` (unique keys; ``weight`` rows each): no key's rows have to meet in one task.
+
+    At most ``heavy`` keys can have more than one in ``heavy`` of the rows; these are broadcast,
+    the others are joined by shuffle.
+    """
+    total = groups.agg(F.sum(weight)).first()[0] or 0
+    many = F.broadcast(groups.where(F.col(weight) > total / heavy))
+    few = groups.where(F.col(weight) <= total / heavy)
+    return rows.join(many, keys).unionByName(rows.join(many.select(keys), keys, "left_anti").join(few, keys))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -52,7 +52,7 @@ def windows_of(items: DataFrame, window: int, key: str, text: str) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, q: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document row."""
+    """doc_id, row_id, n_words, n_hit, n_items, items_sha256, contaminated of every document row."""
     by_item = windows_of(items, window, item_key, item_text)
     wins = stored(
         by_item.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
@@ -116,6 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, q: int =
     out = checked.join(listed, "row_id", "left")
     return out.select(
         "doc_id",
+        "row_id",
         "n_words",
         "n_hit",
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
@@ -125,7 +126,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, q: int =
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_id")
 
 
 OP4_SQL = r"""

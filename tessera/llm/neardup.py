@@ -19,9 +19,16 @@
 With 32 bands of 4 rows a pair at similarity 0.75 is missed with probability 5e-6; 256
 minima of 4 bits estimate it with a deviation of 0.029, and the margin is four of these.
 
+Rows are told apart by a hash of id and text, so rows that share an id but not the text are
+judged apart.  No band's rows have to meet in one task: the few bands that hold more than
+one in 5,000 of the rows are joined by broadcast.
+
 Defined results: null, empty or blank texts have an empty set and stand alone; a null id
-stands alone with a null component and is kept; rows that repeat an id are one
-node, linked by any of their texts; an empty table gives an empty result; further columns are ignored.
+stands alone with a null component and is kept; of rows that repeat an id with other texts,
+each belongs to its own group, and ``kept`` (the id is the component's) is true of all that
+have the component's id, ``stays`` of one row of each group (and its repeats); ties do not
+occur, as the smallest id decides, then the smallest hash; a very long text is one set of
+hashes (8 bytes a shingle); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import mix64, shingle_set, stored, table
+from ._util import mix64, shingle_set, stored, table, with_group
 from .components import components
 
 BANDS, ROWS, BITS, MINIMA = 32, 4, 4, 256
@@ -87,12 +94,12 @@ def estimate(a: Column, b: Column, bits: int = BITS) -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """k, n, print_hi, print_lo, sig, bands of rows (k, t)."""
+    """k, r, n, print_hi, print_lo, sig, bands of rows (k, r, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, hi, lo, sig, bands = [], [], [], [], []
-            for x in b.column(1):
+            for x in b.column(2):
                 s = shingle_set(x.as_py())
                 n.append(len(s))
                 if not len(s):
@@ -103,9 +110,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 m = minima(s)
                 sig.append(packed(m).view(np.int64)), bands.append(band_keys(m).view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, longs), pa.array(bands, longs)], names=["k", "n", "print_hi", "print_lo", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, longs), pa.array(bands, longs)], names=["k", "r", "n", "print_hi", "print_lo", "sig", "bands"])
 
-    return docs.mapInArrow(run, "k long, n long, print_hi long, print_lo long, sig array<long>, bands array<long>")
+    return docs.mapInArrow(run, "k long, r long, n long, print_hi long, print_lo long, sig array<long>, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -221,16 +228,17 @@ def linked_in_blocks(placed: DataFrame, docs: DataFrame, percent: int, floor: fl
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, draws: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    """doc_id, n_shingles, component_id, kept, row_id, stays of every row."""
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(key).cast("long"), text).alias("r"), F.col(text).alias("t"))
     sig = stored(signatures(rows), "minhash")
     real = sig.where("n > 0 and k is not null")
-    classes = real.groupBy("print_hi", "print_lo").agg(F.min("k").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
+    first = F.min(F.struct("k", "r"))
+    classes = real.groupBy("print_hi", "print_lo").agg(first.alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("id", F.col("first.r")), "classes")
     member = classes.select("id", "sig", F.explode("bands").alias("band"))
-    buckets = member.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1").select("band", "pivot")
-    crowded = stored(member.join(buckets, "band").select("band", "id", "pivot"), "buckets")
-    reps = rows.where(F.col("k").isNotNull())
+    buckets = stored(member.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1"), "bands")
+    crowded = stored(with_group(member.select("id", "band"), buckets, ["band"], "m").select("band", "id", "pivot"), "buckets")
+    reps = rows.where(F.col("k").isNotNull()).select(F.col("r").alias("k"), "t")
     sigs = classes.select("id", "sig")
 
     def promising(pairs: DataFrame) -> DataFrame:
@@ -245,15 +253,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, dr
 
     def mixed(label: DataFrame) -> DataFrame:
         """band, id, c, top, sig of the buckets with more than one component; top is the largest."""
-        placed = crowded.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+        placed = stored(crowded.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c")), "placed")
         groups = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
-        tops = groups.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("band", F.col("top.c").alias("top"))
-        return stored(placed.join(tops, "band").join(sigs, "id"), "open")
+        tops = groups.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("cs"), F.sum("m").alias("m")).where("cs > 1")
+        tops = stored(tops.select("band", "m", F.col("top.c").alias("top")), "tops")
+        return stored(with_group(placed, tops, ["band"], "m").select("band", "id", "c", "top").join(sigs, "id"), "open")
 
     placed = mixed(label)
-    drawn = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(r))) for r in range(draws)]))
-    partners = placed.where("c = top").groupBy("band").agg(drawn.alias("ps"))
-    again = placed.where("c <> top").join(partners, "band").select("id", F.explode("ps").alias("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    drawn = F.array_distinct(F.array(*[F.min_by("id", F.when(F.col("c") == F.col("top"), F.xxhash64("id", F.lit(r)))) for r in range(draws)]))
+    partners = placed.groupBy("band").agg(F.count_if(F.col("c") != F.col("top")).alias("m"), drawn.alias("ps"))
+    again = with_group(placed.where("c <> top").select("band", "id"), stored(partners, "partners"), ["band"], "m").select("id", F.explode("ps").alias("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     again = stored(promising(again.distinct().join(star, ["a", "b"], "left_anti")), "again")
     links = stored(links.union(confirmed(again, reps, percent)), "links")
     placed = mixed(components(links))
@@ -261,11 +270,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, dr
     links = stored(links.union(more), "links")
     label = components(links)
 
-    of_class = classes.select("print_hi", "print_lo", "id").join(label, "id", "left").select("print_hi", "print_lo", F.coalesce("component", "id").alias("component"))
-    out = sig.select("k", "n", "print_hi", "print_lo").join(of_class, ["print_hi", "print_lo"], "left")
-    comp = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
-    return out.select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), comp.eqNullSafe(F.col("k")).alias("kept"))
+    placed = classes.select("print_hi", "print_lo", "id", "first").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    firsts = placed.groupBy("component").agg(F.min("first").alias("f"))
+    of_class = placed.select("print_hi", "print_lo", "component").join(firsts, "component").select("print_hi", "print_lo", "f")
+    out = sig.select("k", "r", "n", "print_hi", "print_lo").join(of_class, ["print_hi", "print_lo"], "left")
+    comp = F.when(F.col("k").isNotNull(), F.coalesce("f.k", "k"))
+    stays = F.col("k").isNull() | F.col("f").isNull() | ((F.col("f.k") == F.col("k")) & (F.col("f.r") == F.col("r")))
+    return out.select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), comp.eqNullSafe(F.col("k")).alias("kept"), F.col("r").alias("row_id"), stays.alias("stays"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row_id", "stays")

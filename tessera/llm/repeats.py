@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import mix64, stored, table
+from ._util import mix64, stored, table, with_group
 
 K = 32
 SEGMENT = 1 << 19
@@ -326,18 +326,6 @@ def merged_verdicts(runs: DataFrame, length: int, core: int) -> DataFrame:
 # --- classes, groups, refinement -------------------------------------------------------
 
 
-def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, heavy: int = 5_000) -> DataFrame:
-    """rows joined with ``groups`` (unique keys; ``weight`` rows each): no key's rows have to meet in one task.
-
-    At most ``heavy`` keys can have more than one in ``heavy`` of the rows; these are broadcast,
-    the others are joined by shuffle.
-    """
-    total = groups.agg(F.sum(weight)).first()[0] or 0
-    many = F.broadcast(groups.where(F.col(weight) > total / heavy))
-    few = groups.where(F.col(weight) <= total / heavy)
-    return rows.join(many, keys).unionByName(rows.join(many.select(keys), keys, "left_anti").join(few, keys))
-
-
 def halves(rows: DataFrame, length: int, reach: int) -> DataFrame:
     """Spans in halves of at most ``reach`` string starts, from rows (row, t, open); pg, px, ps, pm are the class, sort point and members they come from."""
     core = length - reach + 1

@@ -85,7 +85,7 @@ def test_blocks_link_what_pairs_would(spark):
     assert 2 < len(set(top.values())) < 60
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     reps = docs.selectExpr("doc_id k", "text t")
-    sig = neardup.signatures(reps).select(F.col("k").alias("id"), "sig")
+    sig = neardup.signatures(reps.select("k", F.col("k").alias("r"), "t")).select(F.col("k").alias("id"), "sig")
     for largest in (-1, 0):  # nobody linked so far: the largest component is no member, or one of them
         placed = sig.select("id", F.col("id").alias("c"), F.lit(largest).cast("long").alias("top"), "sig")
         links = neardup.linked_in_blocks(placed, reps, 75, 0.63, block=9, room=2000)
@@ -129,7 +129,7 @@ def test_decontamination_against_brute_force(spark, docs, texts):
     assert len(got) == docs.count()
     for r in got:
         t = texts[0] if r.doc_id is None else texts[r.doc_id]
-        assert tuple(r)[1:] == brute_decontam(t, items), r.doc_id
+        assert tuple(r)[2:] == brute_decontam(t, items), r.doc_id
 
 
 def test_decontamination_empty(spark, docs, empty):
@@ -377,21 +377,48 @@ def test_mixing_meets_targets(spark, docs, empty):
 # --- pipeline ------------------------------------------------------------------------
 
 
-def test_pipeline_stages_against_brute_force(spark, docs, texts, tmp_path):
-    items = [(1, texts[6])]
+def brute_stays(rows):
+    """Rows (id, text) that near-dedup keeps: one of each group of rows, the smallest id's."""
+    known = sorted({x for x in rows if x[0] is not None}, key=lambda x: (x[0], x[1] or ""))
+    top, sizes = brute_components(list(enumerate(t for _, t in known)))
+    return [x for i, x in enumerate(known) if top[i] == i or not sizes[i]] + [x for x in set(rows) if x[0] is None]
+
+
+def test_pipeline_against_brute_force(spark, texts, tmp_path):
+    """Repeated ids, repeated rows, null ids and further columns that the code uses itself."""
+    rng = np.random.default_rng(31)
+    lone = [words(rng, 60) for _ in range(5)]
+    rows = [(i, t, ("en", "de")[i % 2]) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, texts[0], None), (None, lone[0], "en"), (None, None, "en"), (7, lone[1], "en"), (7, "", "en"), (0, lone[2], "de"), (900, lone[3], None), (901, lone[3], None), (902, "1 2 3", "en")]
+    d = spark.createDataFrame([(*r, ("s0", None)[i % 2], len(r[1] or ""), 2.0, 3.0, "x") for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, weight double, probability double, row_id string")
+    items = [(1, texts[6]), (2, lone[2])]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    at, now = {}, docs.select("doc_id", "text", "lang", "source", "n_chars")
-    now.write.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES:
-        now = stage(spark, now, str(tmp_path))
-        at[name] = now.collect()
-        now = spark.createDataFrame(at[name], now.schema)
-    ids = lambda n: {r.doc_id for r in at[n]}
-    assert {24, 25, 26}.isdisjoint(ids("language ID"))
-    top, _ = brute_components([(i, t) for i, t in enumerate(texts) if i in ids("language ID")])
-    assert ids("MinHash near-dedup") - {None} == {i for i in top if top[i] == i}
-    assert ids("benchmark decontamination") == {i for i in ids("MinHash near-dedup") if i is None or not brute_decontam(texts[i], items)[-1]}
-    assert ids("mixing") <= ids("benchmark decontamination") and ids("sharding") == ids("mixing")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    want, now = [(i, t) for i, t, _ in rows], d
+    steps = dict(corpus_pipeline.STAGES)
+    now = steps["language ID"](spark, now, str(tmp_path))
+    want = [x for x in want if re.search(r"[^\W\d_]", x[1] or "")]
+    assert pairs(now) == sorted(want, key=str) and now.columns == d.columns
+    now = steps["MinHash near-dedup"](spark, now, str(tmp_path))
+    want = brute_stays(want)
+    assert pairs(now) == sorted(want, key=str) and now.columns == d.columns
+    assert (None, lone[0]) in want and (7, lone[1]) in want and (0, lone[2]) in want and (900, lone[3]) in want and (901, lone[3]) not in want
+    now = steps["benchmark decontamination"](spark, now, str(tmp_path))
+    want = [x for x in want if not brute_decontam(x[1], items)[-1]]
+    assert pairs(now) == sorted(want, key=str) and now.columns == d.columns
+    drawn = mixing.mix(now).where("sampled").count()
+    now = steps["mixing"](spark, now, str(tmp_path))
+    assert set(pairs(now)) <= set(want) and now.count() == drawn and now.columns == d.columns
+    last = sorted((r.doc_id is not None, r.doc_id or 0, r.shard, r.slot) for r in steps["sharding"](spark, now, str(tmp_path)).collect())
+    whole = sorted((r.doc_id is not None, r.doc_id or 0, r.shard, r.slot) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert len(last) == drawn and [x[:3] for x in whole] == [x[:3] for x in last]
+
+
+def test_pipeline_of_empty_tables(spark, empty, tmp_path):
+    empty.drop("row", "c").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_empty_tables(spark, empty):
