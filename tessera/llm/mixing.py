@@ -1,22 +1,27 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall in cells (source, language, topic).  The cells' token weights are raked in
-turn to the target marginals of each dimension until all agree within ``tolerance`` (or
-``sweeps`` are done).  The ratio of raked to present tokens, scaled so that the expected
+turn to the target marginals of each dimension until all agree within ``tolerance``.  Targets
+that no weights can meet (a value that occurs with one other value only) show in a gap that
+stops falling; the weights reached are kept, with a warning that names the gap.  The ratio of raked to present tokens, scaled so that the expected
 tokens are ``budget`` of all with no probability over 1, is the probability of a cell's
 documents, and a hash of the id draws.  All of it is grouped aggregation over cells, so
 nothing is gathered on the driver but a few sums.
 
-Targets: tempered present shares (share ** alpha) unless given as {value: weight}.
+Targets: tempered present shares (share ** alpha) unless given as {value: weight}.  Topics: a
+column named by ``topic``, or else the form of the text.
 
 Defined results: null sources, languages and topics are values of their own; documents
 without words weigh nothing and follow their cell's probability (a cell without tokens is
-kept whole); rows that repeat are drawn alike; an empty table gives an empty result;
-further columns are ignored.
+kept whole); rows that repeat are drawn alike, rows without an id by their text; very long
+texts count with all their words; an empty table gives an empty result; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,17 +53,21 @@ def _targets(cells: DataFrame, dim: str, given: dict | None) -> DataFrame:
         for v, x in given.items():
             w = F.when(F.col(dim).eqNullSafe(F.lit(v)), F.lit(float(x))).otherwise(w)
         want = present.select(dim, F.coalesce(w, F.lit(0.0)).alias("w"))
-    total = want.agg(F.sum("w").alias("all"))
-    return want.join(F.broadcast(total), F.lit(True)).select(F.col(dim).alias(f"v_{dim}"), F.try_divide("w", "all").alias("goal"))
+    total = want.agg(F.sum("w")).first()[0] or 0.0
+    return want.select(F.col(dim).alias(f"v_{dim}"), (F.col("w") / (total or 1.0)).alias("goal"))
+
 
+def rake(cells: DataFrame, targets: dict[str, dict] | None = None, tolerance: float = 0.005) -> DataFrame:
+    """cells with ``raked``: token weights whose marginals meet the targets.
 
-def rake(cells: DataFrame, targets: dict[str, dict] | None = None, tolerance: float = 0.005, sweeps: int = 12) -> DataFrame:
-    """cells with ``raked``: token weights whose marginals meet the targets."""
+    Sweeps go on while the largest factor still comes nearer to 1, by a hundredth a sweep at least.
+    """
     targets = targets or {}
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0.0)
     goals = {d: stored(_targets(cells, d, targets.get(d)), "goals") for d in DIMENSIONS}
     now = cells.withColumn("raked", F.col("tokens").cast("double"))
-    for _ in range(sweeps if total else 0):
+    before = float("inf")
+    while total:
         worst = F.lit(0.0)
         for d in DIMENSIONS:
             have = now.groupBy(F.col(d).alias("v")).agg(F.sum("raked").alias("have"))
@@ -71,10 +80,14 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, tolerance: fl
         now = now.drop("worst")
         if gap <= tolerance:
             break
+        if gap > 0.99 * before:
+            warnings.warn(f"raking stopped: targets can't all be met, factors still differ from 1 by {gap:.4f}", stacklevel=2)
+            break
+        before = gap
     return now
 
 
-def probabilities(cells: DataFrame, budget: float, rounds: int = 20) -> DataFrame:
+def probabilities(cells: DataFrame, budget: float) -> DataFrame:
     """cells with ``probability``: c * raked / tokens, at most 1, whose expected tokens are the budget."""
     ratio = F.coalesce(F.try_divide("raked", F.col("tokens").cast("double")), F.lit(None).cast("double"))
     cells = stored(cells.withColumn("ratio", ratio), "ratios")
@@ -82,7 +95,7 @@ def probabilities(cells: DataFrame, budget: float, rounds: int = 20) -> DataFram
     if not all_ or not high:
         return cells.withColumn("probability", F.lit(1.0))
     goal, c = budget * float(all_), budget
-    for _ in range(rounds):
+    while True:  # c rises until no further cell reaches 1
         full, rest = cells.agg(F.sum(F.when(F.col("ratio") * c >= 1, F.col("tokens")).otherwise(0)), F.sum(F.when(F.col("ratio") * c < 1, F.col("raked")).otherwise(0.0))).first()
         new = max(c, (goal - float(full)) / float(rest)) if rest else c
         if new <= c * (1 + 1e-9):
@@ -91,37 +104,35 @@ def probabilities(cells: DataFrame, budget: float, rounds: int = 20) -> DataFram
     return cells.withColumn("probability", F.coalesce(F.least(F.lit(1.0), F.col("ratio") * c), F.lit(1.0)))
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """docs with _tokens and _topic."""
-    return docs.withColumn("_tokens", n_tokens(F.col("text"))).withColumn("_topic", topic_of(F.coalesce("text", F.lit("")), F.col("_tokens")))
+def _described(docs: DataFrame, topic: str | None, seed: int, key: str) -> DataFrame:
+    """docs with _tokens, _topic and the number that each row draws."""
+    draw = F.when(F.col(key).isNull(), uniform(F.col("text"), F.lit(seed))).otherwise(uniform(F.col(key), F.lit(seed)))
+    out = docs.withColumn("_tokens", n_tokens(F.col("text"))).withColumn("_draw", draw)
+    return out.withColumn("_topic", F.col(topic).cast("string") if topic else topic_of(F.coalesce("text", F.lit("")), F.col("_tokens")))
 
 
 def _cells(rows: DataFrame, targets: dict[str, dict] | None, budget: float, **limits) -> DataFrame:
-    """c_source, c_lang, c_topic, weight, probability of rows (source, lang, topic, n_tokens)."""
+    """_c_source, _c_lang, _c_topic, _c_weight, _c_probability of rows (source, lang, topic, n_tokens)."""
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     cells = probabilities(rake(cells, targets, **limits), budget)
-    return stored(cells.select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], F.coalesce("ratio", F.lit(1.0)).alias("weight"), "probability"), "mixture")
-
-
-def _drawn(key: str, seed: int) -> Column:
-    return uniform(F.col(key), F.lit(seed)) < F.col("probability")
+    return stored(cells.select(*[F.col(d).alias(f"_c_{d}") for d in DIMENSIONS], F.coalesce("ratio", F.lit(1.0)).alias("_c_weight"), F.col("probability").alias("_c_probability")), "mixture")
 
 
-def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = 0.6, seed: int = 0, key: str = "doc_id", **limits) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = 0.6, seed: int = 0, key: str = "doc_id", topic: str | None = None, **limits) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled of every row."""
-    rows = _described(docs.select(F.col(key).alias("doc_id"), "source", "lang", "text"))
-    rows = stored(rows.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens")), "mixing")
+    rows = _described(docs, topic, seed, key)
+    rows = stored(rows.select(F.col(key).alias("doc_id"), "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "_draw"), "mixing")
     c = _cells(rows, targets, budget, **limits)
-    on = [rows[d].eqNullSafe(c[f"c_{d}"]) for d in DIMENSIONS]
-    return rows.join(c, on[0] & on[1] & on[2]).select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", _drawn("doc_id", seed).alias("sampled"))
+    on = [rows[d].eqNullSafe(c[f"_c_{d}"]) for d in DIMENSIONS]
+    return rows.join(c, on[0] & on[1] & on[2]).select("doc_id", *DIMENSIONS, "n_tokens", F.col("_c_weight").alias("weight"), F.col("_c_probability").alias("probability"), (F.col("_draw") < F.col("_c_probability")).alias("sampled"))
 
 
-def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = 0.6, seed: int = 0, key: str = "doc_id", **limits) -> DataFrame:
+def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = 0.6, seed: int = 0, key: str = "doc_id", topic: str | None = None, **limits) -> DataFrame:
     """The rows of docs that :func:`mix` samples; the texts stay in place where the cell table is small enough to broadcast."""
-    rows = _described(docs)
+    rows = _described(docs, topic, seed, key)
     c = _cells(rows.select("source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens")), targets, budget, **limits)
-    on = rows["source"].eqNullSafe(c["c_source"]) & rows["lang"].eqNullSafe(c["c_lang"]) & rows["_topic"].eqNullSafe(c["c_topic"])
-    return rows.join(c, on).where(_drawn(key, seed)).select(*docs.columns)
+    on = rows["source"].eqNullSafe(c["_c_source"]) & rows["lang"].eqNullSafe(c["_c_lang"]) & rows["_topic"].eqNullSafe(c["_c_topic"])
+    return rows.join(c, on).where(F.col("_draw") < F.col("_c_probability")).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
