@@ -1,13 +1,22 @@
 """The corpus pipeline: five stages over ``documents``, each the whole of what the one before kept.
 
-Verdict tables hold ids only and are written before they are joined, so that Spark
-broadcasts them where they are small by their files' sizes and shuffles otherwise.
-The brute-force version that the tests hold it against is in ``tests/llm``.
+Rows are rejected one by one, by their id and a hash of id and text, so a rejected row takes
+no other row with its id along.  Verdict tables hold these two columns only and are written
+before they are joined, so that Spark broadcasts them where they are small by their files'
+sizes and shuffles otherwise.  The brute-force version that the tests hold it against is in
+``tests/llm``.
+
+Defined results, all stages: an empty table gives an empty one; a null id is a value like
+others; further columns stay and are ignored, whatever their names; very long texts are judged
+whole.  Language ID: null, empty and letterless texts go.  Near-dedup: of rows that repeat in
+id and text one stays, of a group of near copies the row of the smallest id; rows with a null
+id are no copies of others.  Decontamination: null texts are clean.  Mixing: rows that repeat
+are drawn alike, and so are rows that share an id and a text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._util import stored, table
@@ -18,21 +27,32 @@ from tessera.llm.neardup import near_duplicates
 from tessera.llm.sharding import shard_documents
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose id is listed; a null id can be listed too."""
-    gone = stored(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the listed rows (doc_id, row_id)."""
+    gone = stored(rows.select(F.col("doc_id").alias("_gone_id"), F.col("row_id").alias("_gone_row")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (_row() == gone["_gone_row"]), "left_anti")
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """docs with one of the rows that agree in id and text; only rows that repeat are shuffled."""
+    again = docs.groupBy("doc_id", _row().alias("row_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = stored(again.select(F.col("doc_id").alias("_id"), F.col("row_id").alias("_row")), "again")
+    on = docs["doc_id"].eqNullSafe(again["_id"]) & (_row() == again["_row"])
+    return docs.join(again, on, "left_anti").unionByName(docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or without a language that is likely go."""
-    found = identify_documents(docs)
-    return _without(docs, found.where("not accepted"))
+    return _without(docs, identify_documents(docs).where("not accepted"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    return _once(_without(docs, near_duplicates(docs).where("not stays")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
