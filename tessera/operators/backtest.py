@@ -104,6 +104,44 @@ def portfolio_metrics(equity: DataFrame, keys: tuple[str, ...] = ("strategy",))
     )
 
 
+def equal_weight_book(prices: DataFrame, holding: int, tx_bps: float = 10, slip_bps: float = 5, model: str = "linear") -> DataFrame:
+    """t, value, turnover, gross, net, cost of the rebalanced equal-weight book, as :func:`backtest` gives it.
+
+    Segments are computed apart; one row a rebalance is folded by a running product.
+    """
+    s = equal_weight_segments(prices, holding, tx_bps + slip_bps, model)
+    before = _ordered_by("t0").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("start", F.coalesce(F.exp(F.sum(F.log1p("net")).over(before)), F.lit(1.0)))
+    base = prices.join(s.select(F.col("t0").alias("t"), "t1"), "t").select("asset", F.col("t").alias("t0"), "t1", F.col("price").alias("p0"))
+    day = prices.withColumn("t0", (F.floor((F.col("t") - 1) / holding) * holding).cast("int")).where("t > 0")
+    inside = day.join(base, ["asset", "t0"]).where(F.col("t") <= F.col("t1")).groupBy("t0", "t").agg(F.avg(F.col("price") / F.col("p0")).alias("g"))
+    rows = inside.join(s, "t0")
+    end = F.col("t") == F.col("t1")
+    only = lambda c: F.when(end, c)
+    out = rows.select("t", F.when(end, F.col("start") * (1 + F.col("net"))).otherwise(F.col("start") * F.col("g")).alias("value"), *[only(F.col(c)).alias(c) for c in ("turnover", "gross", "net")], only(F.col("gross") - F.col("net")).alias("cost"))
+    none = F.lit(None).cast("double")
+    first = s.where("t0 = 0").select("t0", F.lit(1.0), none, none, none, none)
+    return out.union(first)
+
+
+def _ordered_by(time: str):
+    return Window.partitionBy(F.lit(0)).orderBy(time)
+
+
+def costs(book: DataFrame, tx_bps: float, slip_bps: float, *keys: str) -> DataFrame:
+    """keys, avg_turnover, total_costs, transaction_costs, slippage_costs; the two kinds share the total by their rates."""
+    both = tx_bps + slip_bps
+    g = book.groupBy(*keys).agg(F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("avg_turnover"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_costs"))
+    part = lambda x: F.col("total_costs") * (x / both if both else 0.0)
+    return g.withColumn("transaction_costs", part(tx_bps)).withColumn("slippage_costs", part(slip_bps))
+
+
+def evaluate(book: DataFrame, gross_book: DataFrame, weights: DataFrame, tx_bps: float = 10, slip_bps: float = 5) -> DataFrame:
+    """All seventeen figures of each strategy: the net path's, the zero-cost twin's return, costs, exposures."""
+    gross = gross_book.groupBy("strategy").agg((F.max_by("value", "t") - 1).alias("cum_return_gross"))
+    return portfolio_metrics(book.select("strategy", "t", "value")).join(gross, "strategy").join(costs(book, tx_bps, slip_bps, "strategy"), "strategy").join(exposure(weights), "strategy")
+
+
 def exposure(weights: DataFrame) -> DataFrame:
     """Mean gross, net and short exposure and the largest gross of each strategy."""
     w = F.col("weight")

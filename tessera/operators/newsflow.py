@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,55 +59,59 @@ def snap_to_sessions(rows: DataFrame, sessions: DataFrame, keys: list[str]) -> D
     return rows.join(snap, "day")
 
 
-def trailing_location(x: Column, key: str, days: int = 60) -> tuple[Column, Column]:
-    """Median and count of the key's rows strictly earlier, within ``days``; 0 where there are none."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros("valid_time")).rangeBetween(-days * DAY_US, -1)
-    return F.coalesce(F.percentile(x, F.lit(0.5)).over(w), F.lit(0.0)), F.count(x).over(w)
-
-
-def trailing_location_long(rows: DataFrame, column: str, key: str, days: int = 60, bucket_days: int = 30) -> DataFrame:
-    """As :func:`trailing_location` for keys with many rows: adds ``location``, ``n_before``.
-
-    A sorted list kept by bisection inside (key, time bucket) groups; each bucket also gets the rows of the
-    ``days`` before it, so no key has to fit in one task.
+def range_kth(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th smallest (from 0) of x[lo:hi] for many ranges at once: a wavelet matrix over the values' ranks."""
+    order = np.argsort(x, kind="stable")
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.arange(len(x))
+    lo, hi, k, out = lo.copy(), hi.copy(), k.copy(), np.zeros(len(k), np.int64)
+    for bit in range(max(len(x) - 1, 0).bit_length() - 1, -1, -1):
+        ones = (rank >> bit) & 1
+        before = np.concatenate([[0], np.cumsum(1 - ones)])  # zeros so far
+        a, b = before[lo], before[hi]
+        up = k >= b - a
+        k = np.where(up, k - (b - a), k)
+        lo, hi = np.where(up, before[-1] + lo - a, a), np.where(up, before[-1] + hi - b, b)
+        out |= up.astype(np.int64) << bit
+        rank = np.concatenate([rank[ones == 0], rank[ones == 1]])
+    return x[order[out]] if len(x) else np.zeros(len(k))
+
+
+def trailing_location(rows: DataFrame, column: str, key: str, days: int = 60, bucket_days: int = 30, names: tuple[str, str] = ("location", "n_before")) -> DataFrame:
+    """rows with the median and count of the key's values strictly earlier, within ``days`` (0 where there are none).
+
+    Groups are (key, time bucket); a bucket also gets the values, and only these, of the ``days``
+    before it, so that no key has to fit in one task.  Missing values don't count.
     """
     us, size = days * DAY_US, bucket_days * DAY_US
     reach = -(-days // bucket_days)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    r = rows.withColumn("_t", F.unix_micros("valid_time")).withColumn("_own", F.floor(F.col("_t") / size))
-    r = r.withColumn("_b", F.explode(F.sequence(F.col("_own"), F.col("_own") + reach)))
-
-    names = rows.columns
-
-    def run(pdf):
-        import bisect
-
-        pdf = pdf.sort_values("_t", kind="stable")
-        t, x, own = pdf["_t"].to_numpy(), pdf[column].to_numpy(float), (pdf["_own"] == pdf["_b"]).to_numpy()
-        med, cnt, held, lo, hi = [], [], [], 0, 0
-        for i in range(len(t)):
-            while hi < len(t) and t[hi] < t[i]:
-                if x[hi] == x[hi]:
-                    bisect.insort(held, x[hi])
-                hi += 1
-            while lo < hi and t[lo] < t[i] - us:
-                if x[lo] == x[lo]:
-                    del held[bisect.bisect_left(held, x[lo])]
-                lo += 1
-            m = len(held)
-            med.append(0.0 if not m else held[m // 2] if m % 2 else (held[m // 2 - 1] + held[m // 2]) / 2)
-            cnt.append(m)
-        out = pdf[names].assign(location=med, n_before=cnt)
-        return out[own]
-
-    return r.groupBy(key, "_b").applyInPandas(run, f"{kinds}, location double, n_before long")
+    r = rows.withColumn("_t", F.unix_micros("valid_time")).withColumn("_b", F.floor(F.col("_t") / size))
+    own = r.select("*", F.lit(True).alias("_own"))
+    past = r.where(F.col(column).isNotNull()).select(*[F.when(F.lit(c in (column, key)), F.col(c)).alias(c) for c in rows.columns], "_t", F.explode(F.sequence(F.col("_b") + 1, F.col("_b") + reach)).alias("_b"), F.lit(False).alias("_own"))
+    kinds, own_columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), rows.columns
+
+    def one(x: pa.Table) -> pa.Table:
+        t, mine = x.column("_t").to_numpy(), x.column("_own").to_numpy(zero_copy_only=False)
+        v = x.column(column).to_numpy(zero_copy_only=False).astype(float)
+        ok = np.flatnonzero(~np.isnan(v))
+        ok = ok[np.argsort(t[ok], kind="stable")]
+        times, values, asked = t[ok], v[ok], t[mine]
+        lo, hi = np.searchsorted(times, asked - us, "left"), np.searchsorted(times, asked, "left")
+        n = hi - lo
+        some = np.flatnonzero(n)
+        mid = [range_kth(values, lo[some], hi[some], k) for k in ((n[some] - 1) // 2, n[some] // 2)]
+        location = np.zeros(len(n))
+        location[some] = (mid[0] + mid[1]) / 2
+        kept = x.filter(pa.array(mine)).select(own_columns)
+        return kept.append_column(names[0], pa.array(location)).append_column(names[1], pa.array(n, pa.int64()))
+
+    return own.unionByName(past).groupBy(key, "_b").applyInArrow(one, f"{kinds}, {names[0]} double, {names[1]} long")
 
 
 def neutralize(rows: DataFrame, days: int = 60, k: float = 20.0, floor: float = 1e-6, least: int = 3) -> DataFrame:
     """article_id, ticker, shrinkage_weight_w, sentiment_final, neutralization_status of rows with s0, prior_found."""
-    loc, n = trailing_location(F.col("s0"), "ticker", days)
-    r = rows.withColumn("loc_t", loc).withColumn("n_t", n)
-    r = trailing_location_long(r, "s0", "group_key", days).withColumn("w", F.col("n_t") / (F.col("n_t") + k))
+    r = trailing_location(rows, "s0", "ticker", days, names=("loc_t", "n_t"))
+    r = trailing_location(r, "s0", "group_key", days).withColumn("w", F.col("n_t") / (F.col("n_t") + k))
     r = r.withColumn("s1", F.col("s0") - (F.col("w") * F.col("loc_t") + (1 - F.col("w")) * F.col("location")))
     g = Window.partitionBy(F.to_date("valid_time"), "group_key")
     small = F.count(F.lit(1)).over(g) < least

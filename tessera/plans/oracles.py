@@ -59,6 +59,7 @@ def _beta(w: str) -> str:
     return f"({s('market * ret')} - {s('market')} * {s('ret')} / nullif({n}, 0)) / nullif({s('market * market')} - {s('market')} * {s('market')} / nullif({n}, 0), 0)"
 
 
+_AI = "(PARTITION BY asset, indicator ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
 _DIR = lambda x, tau: f"CASE WHEN {x} > {tau} THEN 1 WHEN {x} < -{tau} THEN -1 ELSE 0 END"
 PRIOR = f"""{NEWS_SQL}, bt AS (SELECT ticker, avg(raw_score) AS pt FROM news GROUP BY ticker HAVING count(*) >= 60), bg AS (SELECT group_key, avg(raw_score) AS pg FROM news WHERE group_key <> 'view' GROUP BY group_key),
 pr AS (SELECT *, round(coalesce(pt, pg, 0.0), 9) AS prior, coalesce(pt, pg) IS NOT NULL AS prior_found, raw_score - round(coalesce(pt, pg, 0.0), 9) AS s0 FROM news LEFT JOIN bt USING (ticker) LEFT JOIN bg USING (group_key))"""
@@ -151,5 +152,19 @@ ORACLES: dict[str, str] = {
     "text_chunks": f"WITH {CHUNKS} SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(k AS INT) AS n_chunks, md5(piece) AS piece_md5 FROM cut",
     "chunk_reduce": f"""WITH {CHUNKS}, m AS (SELECT doc_id, sum(least(16, n - 128 * chunk)) AS words FROM cut GROUP BY doc_id)
       SELECT doc_id, CAST(greatest(1, ceil(words / 128)) AS INT) AS n_chunks, CAST(words AS BIGINT) AS n_words FROM m""",
+    "macro_channel": f"""WITH {BARS_SQL}, {SERIES}, {RET}, {MARKET}, bd AS (SELECT DISTINCT date FROM bars), pb AS (SELECT i.indicator, bd.date FROM (SELECT DISTINCT indicator FROM series) i, bd),
+      rs AS (SELECT indicator, date, ret FROM series WHERE ret IS NOT NULL), zs AS (SELECT indicator, date, z FROM series WHERE z IS NOT NULL),
+      ar AS (SELECT pb.indicator, pb.date, rs.ret FROM pb ASOF LEFT JOIN rs ON pb.indicator = rs.indicator AND pb.date >= rs.date), az AS (SELECT pb.indicator, pb.date, zs.z FROM pb ASOF LEFT JOIN zs ON pb.indicator = zs.indicator AND pb.date >= zs.date),
+      x AS (SELECT asset, date, indicator, ret.ret, ar.ret AS market, z FROM ret JOIN ar USING (date) JOIN az USING (indicator, date)),
+      bt AS (SELECT *, CASE WHEN count(CASE WHEN {_PAIR} THEN 1 END) OVER {_AI} = 60 THEN {_beta(_AI)} END AS beta FROM x),
+      up AS (SELECT asset, indicator, date, CASE WHEN count(*) OVER (PARTITION BY asset, indicator) >= 15 AND count(CASE WHEN {_PAIR} THEN 1 END) OVER {_AI} >= 15 THEN {_beta(_AI)} END AS u FROM x WHERE market > 0),
+      dn AS (SELECT asset, indicator, date, CASE WHEN count(*) OVER (PARTITION BY asset, indicator) >= 15 AND count(CASE WHEN {_PAIR} THEN 1 END) OVER {_AI} >= 15 THEN {_beta(_AI)} END AS d FROM x WHERE market < 0),
+      cb AS (SELECT bt.*, last_value(u IGNORE NULLS) OVER w AS u, last_value(d IGNORE NULLS) OVER w AS d FROM bt LEFT JOIN up USING (asset, indicator, date) LEFT JOIN dn USING (asset, indicator, date) WINDOW w AS (PARTITION BY asset, indicator ORDER BY date ROWS UNBOUNDED PRECEDING)),
+      ct AS (SELECT asset, date, sum(CASE WHEN hit AND z > 0 THEN 1 ELSE 0 END) AS n_pos, sum(CASE WHEN hit AND z <= 0 THEN 1 ELSE 0 END) AS n_neg, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS n_trigger FROM (SELECT *, coalesce(abs(z) >= 1 AND abs(beta) > 0 AND abs(CASE WHEN z > 0 THEN u ELSE d END) >= 0, false) AS hit FROM cb) GROUP BY asset, date),
+      {FEATURES}, ow AS (SELECT asset, date, {_DIR('round(z_ret, 5)', 1.0)} AS own FROM features), g AS (SELECT *, CASE WHEN n_trigger > 0 AND n_pos = n_trigger THEN 1 WHEN n_trigger > 0 AND n_neg = n_trigger THEN -1 ELSE 0 END AS direction FROM ct JOIN ow USING (asset, date))
+      SELECT asset, date, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg, n_trigger::BIGINT AS n_trigger, direction, CASE WHEN own <> 0 AND direction = 0 THEN own ELSE 0 END AS alpha, CASE WHEN direction <> 0 AND own = 0 THEN direction ELSE 0 END AS beta, CASE WHEN own <> 0 AND own = direction THEN own ELSE 0 END AS "both" FROM g""",
+    "story_representatives": f"""WITH RECURSIVE {EDGES}, bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), re AS (SELECT id, id AS r FROM v UNION SELECT re.id, bo.b FROM re JOIN bo ON re.r = bo.a), cp AS (SELECT grp, v.id, e, min(r) AS component FROM v JOIN re ON v.id = re.id GROUP BY grp, v.id, e),
+      nr AS (SELECT x.grp, x.component, x.id, count(*) AS size, round(sum(list_cosine_similarity(x.e, y.e)) / any_value(nm), 9) AS near FROM cp x JOIN cp y ON x.grp = y.grp AND x.component = y.component JOIN (SELECT p.grp, p.component, sqrt(sum(list_cosine_similarity(p.e, q.e))) AS nm FROM cp p JOIN cp q ON p.grp = q.grp AND p.component = q.component GROUP BY ALL) n ON n.grp = x.grp AND n.component = x.component GROUP BY ALL)
+      SELECT grp, component, id, size FROM nr QUALIFY row_number() OVER (PARTITION BY grp, component ORDER BY near DESC, id) = 1""",
     "rolling_quantile_bars": f"WITH {BARS_SQL} SELECT asset, date, CASE WHEN count(close) OVER {_w(20)} = 20 THEN round(quantile_cont(close, 0.5) OVER {_w(20)}, 7) END AS median_close FROM bars",
 }

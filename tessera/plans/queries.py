@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import ordered
-from ..operators import allocation, backtest, baselines, chunks, graph, newsflow, signals, technical
+from ..operators import allocation, backtest, baselines, chunks, forecasts, graph, newsflow, signals, technical
 from ..sources import panels
 from ..streaming import windows
 from .reports import REPORTS, duck_report, spark_report
@@ -140,8 +140,8 @@ def news_window_features(spark, d):
 
 
 def trailing_median(spark, d):
-    loc, n = newsflow.trailing_location(F.col("raw_score"), "ticker")
-    return _rounded(panels.news(spark, d).select("article_id", loc.alias("location"), n.alias("n_before")), 8)
+    r = newsflow.trailing_location(panels.news(spark, d), "raw_score", "ticker")
+    return _rounded(r.select("article_id", "location", "n_before"), 8)
 
 
 def entity_prior(spark, d):
@@ -205,32 +205,27 @@ def portfolio_metrics(spark, d):
     return _rounded(backtest.portfolio_metrics(p), 4)
 
 
-def forecasts(spark, d, lookback: int = 60):
+def returns(spark, d):
+    """asset, t, r: log returns of the common calendar."""
+    return _prices(spark, d).withColumn("r", F.ln("price") - F.lag(F.ln("price")).over(ordered(time="t"))).where("r is not null").select("asset", "t", "r")
+
+
+def moments(spark, d, lookback: int = 60):
     """t, assets, mu, cov: trailing mean and covariance of log returns at each rebalance (a stand-in for a trained model)."""
-    r = _prices(spark, d).withColumn("r", F.ln("price") - F.lag(F.ln("price")).over(ordered(time="t"))).where("r is not null").select("asset", "t", "r")
-    last = r.agg(F.max("t")).first()[0]
-    at = spark.range(lookback, (last or 0) + 1 - HORIZON, HORIZON).select(F.col("id").cast("int").alias("t0")) if last and last > lookback + HORIZON else spark.range(0).select(F.col("id").cast("int").alias("t0"))
-    x = r.withColumn("t0", F.explode(F.sequence(F.ceil(F.greatest(F.col("t"), F.lit(lookback)) / HORIZON).cast("int") * HORIZON, F.floor((F.col("t") + lookback - 1) / HORIZON).cast("int") * HORIZON, F.lit(HORIZON)))).where("t > t0 - 60 and t <= t0").join(F.broadcast(at), "t0")
-    y = x.select("t0", "t", F.col("asset").alias("b"), F.col("r").alias("rb"))
-    pair = x.join(y, ["t0", "t"]).groupBy("t0", "asset", "b").agg(F.covar_samp("r", "rb").alias("c"))
-    row = pair.groupBy("t0", "asset").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "c"))), lambda s: s["c"]).alias("row"))
-    mean = x.groupBy("t0", "asset").agg(F.avg("r").alias("m")).join(row, ["t0", "asset"])
-    return mean.groupBy("t0").agg(F.array_sort(F.collect_list(F.struct("asset", "m", "row"))).alias("s")).select(F.col("t0").alias("t"), F.col("s.asset").alias("assets"), F.col("s.m").alias("mu"), F.col("s.row").alias("cov"))
+    return forecasts.trailing_moments(returns(spark, d), lookback, HORIZON)
 
 
 def covariance_forecast(spark, d):
-    f = forecasts(spark, d).select("t", F.posexplode("assets").alias("i", "asset"), "mu", "cov")
-    return _rounded(f.select("t", "asset", F.element_at("mu", F.col("i") + 1).alias("mu"), F.element_at(F.element_at("cov", F.col("i") + 1), F.col("i") + 1).alias("variance")), 7)
+    return _rounded(forecasts.diagonal(moments(spark, d)), 7)
 
 
 def lognormal_moments(spark, d):
-    f = forecasts(spark, d).select("t", F.posexplode("assets").alias("i", "asset"), "mu", "cov")
-    m, v = F.element_at("mu", F.col("i") + 1), F.element_at(F.element_at("cov", F.col("i") + 1), F.col("i") + 1)
+    f, m, v = forecasts.diagonal(moments(spark, d)), F.col("mu"), F.col("variance")
     return _rounded(f.select("t", "asset", (F.exp(m + v / 2) - 1).alias("mean"), (F.exp(2 * m + v) * F.expm1(v)).alias("variance")), 7)
 
 
 def allocations(spark, d):
-    return allocation.allocate(forecasts(spark, d))
+    return allocation.allocate(moments(spark, d))
 
 
 def strategies_backtest(spark, d):
@@ -294,10 +289,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (naive_buy_and_hold, naive_index, return_distribution, text_chunks, chunk_reduce, daily_features, rolling_ols, ewm_macd, imacd, alpha_filter, alpha_filter_cross_sectional, signal_hold, persistence_gate, rolling_beta, conditional_beta, forward_return, splits_purged,
            standardized_panel, macro_daily, asof_ffill, macro_channel, news_ingest_explode, news_ingest_whole, session_snap, news_window_features, trailing_median, entity_prior, neutralize, cosine_edges, story_components,
            story_representatives, equal_weight_backtest, cost_models, walk_forward, portfolio_metrics, covariance_forecast, lognormal_moments, allocations, strategies_backtest, strategy_metrics, exposure, mask_renormalized, event_windows, rolling_quantile_bars)
-    return {f.__name__: f for f in own} | {n: spark_report(n) for n in REPORTS}
+    from .more import OWN
+
+    return {f.__name__: f for f in (*own, *OWN)} | {n: spark_report(n) for n in REPORTS}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .more_oracles import MORE
     from .oracles import ORACLES
 
-    return ORACLES | {n: duck_report(n) for n in REPORTS}
+    return ORACLES | MORE | {n: duck_report(n) for n in REPORTS}

@@ -48,7 +48,7 @@ def order_states(events: DataFrame) -> DataFrame:
 def positions(fills: DataFrame) -> DataFrame:
     """symbol, quantity: signed filled quantities."""
     q = F.when(F.col("status").isin("Filled", "PartiallyFilled"), F.coalesce("filled_qty", F.when(F.col("status") == "Filled", F.col("qty")), F.lit(0.0))).otherwise(0.0)
-    return fills.groupBy("symbol").agg(F.sum(F.when(F.col("side") == "buy", q).otherwise(-q)).alias("quantity"))
+    return fills.groupBy("symbol").agg(F.sum(F.when(F.lower("side") == "buy", q).otherwise(-q)).alias("quantity"))
 
 
 def exits(holdings: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def exits(holdings: DataFrame, quotes: DataFrame) -> DataFrame:
     long = F.col("quantity") > 0
     stop = F.when(long, F.col("last") <= F.col("stop_loss")).otherwise(F.col("last") >= F.col("stop_loss"))
     goal = F.when(long, F.col("last") >= F.col("take_profit")).otherwise(F.col("last") <= F.col("take_profit"))
-    return h.withColumn("reason", F.when(stop, "stop").when(goal, "target")).where("reason is not null")
+    return h.withColumn("reason", F.when(stop, "risk-stop").when(goal, "take-profit")).where("reason is not null")
 
 
 def learned_bias(wins: Column, losses: Column) -> Column:
