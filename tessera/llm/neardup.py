@@ -127,10 +127,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "k long, s array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets overlap by ``percent`` or more."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    sets = stored(full_sets(docs.join(needed, "k", "left_semi")), "sets")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets (k, s) overlap by ``percent`` or more."""
     left = sets.select(F.col("k").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
@@ -187,21 +185,21 @@ def met(few: list, many: list, top: int, percent: int, floor: float) -> Iterator
         yield min(a, b), max(a, b)
 
 
-def linked_in_blocks(placed: DataFrame, docs: DataFrame, percent: int, floor: float, block: int = 400, room: int = 400_000) -> DataFrame:
-    """Links (a, b) between components that share a bucket, from rows (id, c, top, sig).
+def linked_in_blocks(placed: DataFrame, sets: DataFrame, percent: int, floor: float, block: int = 400, room: int = 400_000) -> DataFrame:
+    """Links (a, b) between components that share a bucket, from rows (id, c, top, sig) and full sets (k, s).
 
     A block holds about ``block`` members and ``room`` shingles, or one longer text.
     """
-    sets = stored(full_sets(docs.join(placed.select(F.col("id").alias("k")).distinct(), "k", "left_semi")).where(F.size("s") > 0), "sets")
+    sets = sets.where(F.size("s") > 0)
     rows = placed.select("top", "id", "c", "sig").distinct()
-    sizes = rows.join(sets.groupBy(F.col("k").alias("id")).agg(F.sum(F.size("s")).alias("n")), "id")
+    sizes = stored(rows.join(sets.select(F.col("k").alias("id"), F.size("s").alias("n")).distinct(), "id"), "sizes")
     out = F.col("c") != F.col("top")
     parts = lambda m, n: F.ceil(F.greatest(m / block, n / room)).cast("int")
     deal = sizes.groupBy("top").agg(
         parts(F.count_if(out), F.sum(F.when(out, F.col("n")).otherwise(0))).alias("nf"),
-        parts(F.count(F.lit(1)), F.sum("n")).alias("nm"),
+        parts(F.count(F.lit(1)), F.sum("n")).alias("nm"), F.count(F.lit(1)).alias("m"),
     )
-    dealt = rows.join(deal, "top")
+    dealt = with_group(sizes.select("top", "id", "c", "sig"), stored(deal, "deal"), ["top"], "m")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     few = dealt.where(out).select("top", "id", "c", "sig", own("nf").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"), F.lit(0).alias("side"))
     many = dealt.select("top", "id", "c", "sig", F.explode(F.sequence(F.lit(0), F.col("nf") - 1)).alias("i"), own("nm").alias("j"), F.lit(1).alias("side"))
@@ -238,7 +236,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, dr
     member = classes.select("id", "sig", F.explode("bands").alias("band"))
     buckets = stored(member.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1"), "bands")
     crowded = stored(with_group(member.select("id", "band"), buckets, ["band"], "m").select("band", "id", "pivot"), "buckets")
-    reps = rows.where(F.col("k").isNotNull()).select(F.col("r").alias("k"), "t")
+    # the texts are shuffled once: all later steps meet the sets of those that share a band with another
+    texts = rows.where(F.col("k").isNotNull()).select(F.col("r").alias("k"), "t")
+    sets = stored(full_sets(texts.join(crowded.select(F.col("id").alias("k")).distinct(), "k", "left_semi")), "sets")
     sigs = classes.select("id", "sig")
 
     def promising(pairs: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, dr
 
     star = crowded.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     star = stored(promising(star), "star")
-    links = stored(confirmed(star, reps, percent), "links")
+    links = stored(confirmed(star, sets, percent), "links")
     label = components(links)
 
     def mixed(label: DataFrame) -> DataFrame:
@@ -264,9 +264,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, dr
     partners = placed.groupBy("band").agg(F.count_if(F.col("c") != F.col("top")).alias("m"), drawn.alias("ps"))
     again = with_group(placed.where("c <> top").select("band", "id"), stored(partners, "partners"), ["band"], "m").select("id", F.explode("ps").alias("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     again = stored(promising(again.distinct().join(star, ["a", "b"], "left_anti")), "again")
-    links = stored(links.union(confirmed(again, reps, percent)), "links")
+    links = stored(links.union(confirmed(again, sets, percent)), "links")
     placed = mixed(components(links))
-    more = stored(linked_in_blocks(placed, reps, percent, percent / 100 - margin), "more")
+    more = stored(linked_in_blocks(placed, sets, percent, percent / 100 - margin), "more")
     links = stored(links.union(more), "links")
     label = components(links)
 

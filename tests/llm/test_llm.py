@@ -88,7 +88,7 @@ def test_blocks_link_what_pairs_would(spark):
     sig = neardup.signatures(reps.select("k", F.col("k").alias("r"), "t")).select(F.col("k").alias("id"), "sig")
     for largest in (-1, 0):  # nobody linked so far: the largest component is no member, or one of them
         placed = sig.select("id", F.col("id").alias("c"), F.lit(largest).cast("long").alias("top"), "sig")
-        links = neardup.linked_in_blocks(placed, reps, 75, 0.63, block=9, room=2000)
+        links = neardup.linked_in_blocks(placed, neardup.full_sets(reps), 75, 0.63, block=9, room=2000)
         label = {r.id: r.component for r in neardup.components(links).collect()}
         assert {i: label.get(i, i) for i in top} == top
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == top
