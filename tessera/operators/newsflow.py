@@ -120,6 +120,14 @@ def neutralize(rows: DataFrame, days: int = 60, k: float = 20.0, floor: float =
     return r.select("article_id", "ticker", F.col("w").alias("shrinkage_weight_w"), z.alias("sentiment_final"), status.alias("neutralization_status"))
 
 
+def with_prior(rows: DataFrame, by_ticker: DataFrame, by_group: DataFrame) -> DataFrame:
+    """rows with prior, prior_found, s0: the ticker's prior, else the group's, else 0, and the raw score less it."""
+    t, g = by_ticker.select("ticker", F.col("prior").alias("_pt")), by_group.select("group_key", F.col("prior").alias("_pg"))
+    r = rows.join(t, "ticker", "left").join(g, "group_key", "left")
+    found = F.coalesce("_pt", "_pg")
+    return r.withColumn("prior", F.round(F.coalesce(found, F.lit(0.0)), 9)).withColumn("prior_found", found.isNotNull()).withColumn("s0", F.col("raw_score") - F.col("prior")).drop("_pt", "_pg")
+
+
 def window_features(news: DataFrame, days: DataFrame, lookback: int) -> DataFrame:
     """asset, date, n_articles, mean_sentiment of the stories in [date - lookback, date): a range join by week buckets."""
     n = news.withColumn("_b", F.floor(F.unix_date("day") / lookback))

@@ -61,7 +61,7 @@ def _beta(w: str) -> str:
 
 _AI = "(PARTITION BY asset, indicator ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
 _DIR = lambda x, tau: f"CASE WHEN {x} > {tau} THEN 1 WHEN {x} < -{tau} THEN -1 ELSE 0 END"
-PRIOR = f"""{NEWS_SQL}, bt AS (SELECT ticker, avg(raw_score) AS pt FROM news GROUP BY ticker HAVING count(*) >= 60), bg AS (SELECT group_key, avg(raw_score) AS pg FROM news WHERE group_key <> 'view' GROUP BY group_key),
+PRIOR = f"""{NEWS_SQL}, bt AS (SELECT ticker, avg(raw_score) AS pt FROM news GROUP BY ticker), bg AS (SELECT group_key, avg(raw_score) AS pg FROM news GROUP BY group_key),
 pr AS (SELECT *, round(coalesce(pt, pg, 0.0), 9) AS prior, coalesce(pt, pg) IS NOT NULL AS prior_found, raw_score - round(coalesce(pt, pg, 0.0), 9) AS s0 FROM news LEFT JOIN bt USING (ticker) LEFT JOIN bg USING (group_key))"""
 PRICES = f"""{BARS_SQL}, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT date FROM bars GROUP BY date HAVING count(DISTINCT asset) = (SELECT count(DISTINCT asset) FROM bars))),
 pp AS (SELECT asset, date, t, adj_close AS price FROM bars JOIN cal USING (date))"""
@@ -107,9 +107,10 @@ ORACLES: dict[str, str] = {
       SELECT asset, date, round(coalesce((ret_adj - m1) / s1, 0), 5) AS ret_adj, round(coalesce((rsi - m2) / s2, 0), 5) AS rsi, round(coalesce((rel_volume - m3) / s3, 0), 5) AS rel_volume FROM features, st""",
     "macro_daily": f"WITH {SERIES} SELECT indicator, date, round(x, 4) AS x, round(ret, 5) AS ret, round(z, 5) AS z FROM series",
     "asof_ffill": f"WITH {BARS_SQL}, {MACRO_SQL}, pb AS (SELECT i.indicator, d.date FROM (SELECT DISTINCT indicator FROM macro) i, (SELECT DISTINCT date FROM bars) d) SELECT pb.indicator, pb.date, round(adj_close, 4) AS adj_close FROM pb ASOF LEFT JOIN macro ON pb.indicator = macro.indicator AND pb.date >= macro.date",
-    "news_ingest_explode": r"""WITH r AS (SELECT doc_id, upper(source) AS sym, upper(lang) AS ty, trim(substr(text, 1, 20)) AS t, CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(substr(text, 21, 20)) END AS c FROM documents),
-      s AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN [sym, 'A', 'B'] WHEN 1 THEN [sym, 'A', 'B', 'C'] ELSE [sym] END AS tick FROM r)
-      SELECT CAST(doc_id AS VARCHAR) AS article_id, unnest(tick) AS ticker, 'EX' AS exchange, 'EX:' || ty AS group_key, CAST(length(CASE WHEN c = '' THEN t WHEN t = '' THEN c ELSE t || '. ' || c END) AS BIGINT) AS n_chars FROM s WHERE t <> '' OR c <> ''""",
+    "news_ingest_explode": r"""WITH r AS (SELECT doc_id, upper(source) AS sym, upper(lang) AS ty, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE strpos(text, chr(10)) END AS nl, text FROM documents),
+      h AS (SELECT *, trim(CASE WHEN nl = 0 THEN text ELSE substr(text, 1, nl - 1) END) AS t, trim(CASE WHEN nl = 0 THEN '' ELSE substr(text, nl + 1) END) AS c FROM r),
+      s AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN [sym, 'A', 'B'] WHEN 1 THEN [sym, 'A', 'B', 'C'] ELSE [sym] END AS tick FROM h WHERE t <> '' OR c <> '')
+      SELECT CAST(doc_id AS VARCHAR) AS article_id, unnest(tick) AS ticker, 'EX' AS exchange, 'EX:' || ty AS group_key, CAST(length(t) + length(c) + CASE WHEN t <> '' AND c <> '' THEN 2 ELSE 0 END AS BIGINT) AS n_chars FROM s""",
     "news_ingest_whole": r"""WITH r AS (SELECT doc_id, upper(source) AS sym, upper(lang) AS ty, strpos(text, chr(10)) AS nl, text FROM documents),
       h AS (SELECT *, trim(CASE WHEN nl = 0 THEN text ELSE substr(text, 1, nl - 1) END) AS t, trim(CASE WHEN nl = 0 THEN '' ELSE substr(text, nl + 1) END) AS c FROM r),
       f AS (SELECT *, CASE WHEN c = '' THEN t WHEN t = '' THEN c ELSE t || '. ' || c END AS body, CASE doc_id % 4 WHEN 0 THEN [sym, 'A', 'B'] WHEN 1 THEN [sym, 'A', 'B', 'C'] ELSE [sym] END AS tick FROM h)
@@ -150,7 +151,7 @@ ORACLES: dict[str, str] = {
       z AS (SELECT asset, ret AS r, (ret - m) / s AS z FROM ret JOIN st USING (asset) WHERE ret IS NOT NULL), c AS (SELECT avg(z) AS mz FROM z)
       SELECT count(*) AS n, count(DISTINCT asset) AS n_assets, round(var_samp(r), 10) AS variance, round(avg((z - mz) ** 3) / avg((z - mz) ** 2) ** 1.5, 6) AS skew, round(kurtosis(z), 6) AS excess_kurtosis FROM z, c""",
     "text_chunks": f"WITH {CHUNKS} SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(k AS INT) AS n_chunks, md5(piece) AS piece_md5 FROM cut",
-    "chunk_reduce": f"""WITH {CHUNKS}, m AS (SELECT doc_id, sum(least(16, n - 128 * chunk)) AS words FROM cut GROUP BY doc_id)
+    "chunk_reduce": f"""WITH {CHUNKS}, m AS (SELECT doc_id, sum(len(list_distinct(w[128 * chunk + 1 : 128 * chunk + 128]))) AS words FROM ix GROUP BY doc_id)
       SELECT doc_id, CAST(greatest(1, ceil(words / 128)) AS INT) AS n_chunks, CAST(words AS BIGINT) AS n_words FROM m""",
     "macro_channel": f"""WITH {BARS_SQL}, {SERIES}, {RET}, {MARKET}, bd AS (SELECT DISTINCT date FROM bars), pb AS (SELECT i.indicator, bd.date FROM (SELECT DISTINCT indicator FROM series) i, bd),
       rs AS (SELECT indicator, date, ret FROM series WHERE ret IS NOT NULL), zs AS (SELECT indicator, date, z FROM series WHERE z IS NOT NULL),

@@ -12,7 +12,7 @@ from ..functions.rolling import ordered
 from ..operators import allocation, backtest, baselines, chunks, forecasts, graph, newsflow, signals, technical
 from ..sources import panels
 from ..streaming import windows
-from .reports import REPORTS, duck_report, spark_report
+from .reports import REPORTS
 
 WINDOW, TAU, HORIZON = 126, 0.5, 5
 
@@ -111,10 +111,16 @@ def _raw_news(spark, d, title, content):
     )
 
 
+def _title_and_content():
+    """The first line and all the rest; every third document is a title without content."""
+    line = F.substring_index("text", "\n", 1)
+    bare = F.col("doc_id") % 3 == 0
+    return F.when(bare, F.col("text")).otherwise(line), F.when(bare, "").otherwise(F.substring(F.col("text"), F.length(line) + 2, F.length("text")))
+
+
 def news_ingest_explode(spark, d):
-    """Ingest of short articles cut from the documents, as its SQL states; :func:`news_ingest_whole` takes whole texts."""
-    raw = _raw_news(spark, d, F.substring("text", 1, 20), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 21, 20)))
-    return newsflow.ingest(raw).select("article_id", "ticker", "exchange", "group_key", F.length("full_text").cast("long").alias("n_chars"))
+    """A row per article and ticker of the documents' whole texts."""
+    return newsflow.ingest(_raw_news(spark, d, *_title_and_content())).select("article_id", "ticker", "exchange", "group_key", F.length("full_text").cast("long").alias("n_chars"))
 
 
 def news_ingest_whole(spark, d):
@@ -150,11 +156,8 @@ def entity_prior(spark, d):
 
 def _with_prior(spark, d):
     n = panels.news(spark, d)
-    by_ticker = n.groupBy("ticker").agg(F.avg("raw_score").alias("pt"), F.count(F.lit(1)).alias("c")).where("c >= 60").drop("c")
-    by_group = n.groupBy("group_key").agg(F.avg("raw_score").alias("pg")).where("group_key <> 'view'")
-    r = n.join(by_ticker, "ticker", "left").join(by_group, "group_key", "left")
-    prior = F.round(F.coalesce("pt", "pg", F.lit(0.0)), 9)
-    return r.withColumn("prior", prior).withColumn("prior_found", F.coalesce("pt", "pg").isNotNull()).withColumn("s0", F.col("raw_score") - F.col("prior"))
+    by_ticker, by_group = (n.groupBy(k).agg(F.avg("raw_score").alias("prior")) for k in ("ticker", "group_key"))
+    return newsflow.with_prior(n, by_ticker, by_group)
 
 
 def neutralize(spark, d):
@@ -278,9 +281,9 @@ def text_chunks(spark, d):
 
 
 def chunk_reduce(spark, d):
-    """Each piece reduced to its first 16 words, joined in order, and chunked once more."""
+    """Each piece reduced to its distinct words (a stand-in for a summary), joined in order, and chunked once more."""
     c = chunks.chunked(panels.read(spark, d, "documents"), 128, "doc_id")
-    short = c.withColumn("piece", F.array_join(F.slice(chunks.words_of(F.col("piece")), 1, 16), " "))
+    short = c.withColumn("piece", F.array_join(F.array_distinct(chunks.words_of(F.col("piece"))), " "))
     again = chunks.chunked(chunks.joined(short, "doc_id"), 128, "doc_id")
     return again.groupBy("doc_id").agg(F.max("n_chunks").alias("n_chunks"), F.sum(F.size(chunks.words_of(F.col("piece")))).alias("n_words"))
 
@@ -291,11 +294,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
            story_representatives, equal_weight_backtest, cost_models, walk_forward, portfolio_metrics, covariance_forecast, lognormal_moments, allocations, strategies_backtest, strategy_metrics, exposure, mask_renormalized, event_windows, rolling_quantile_bars)
     from .more import OWN
 
-    return {f.__name__: f for f in (*own, *OWN)} | {n: spark_report(n) for n in REPORTS}
+    return {f.__name__: f for f in (*own, *OWN)} | REPORTS
 
 
 def oracle_sql() -> dict[str, str]:
     from .more_oracles import MORE
     from .oracles import ORACLES
+    from .report_oracles import REPORT_ORACLES
 
-    return ORACLES | MORE | {n: duck_report(n) for n in REPORTS}
+    return ORACLES | MORE | REPORT_ORACLES

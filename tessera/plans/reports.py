@@ -1,98 +1,289 @@
-"""Report plans stated once as SQL: Spark runs them over DataFrames, DuckDB over the same tables.
-
-``{bars}``, ``{macro}``, ``{news}`` and table names are inputs; ``PCT(x; p)`` is the linearly
-interpolated percentile, written as each engine spells it.
-"""
+"""Report plans as DataFrame code; the DuckDB SQL they are checked against is in ``report_oracles.py``."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from ..functions.rolling import log_return, ordered
+from ..operators import audits, backtest, experiments
 from ..sources import panels
 
-INPUTS = {"bars": (panels.bars, panels.BARS_SQL), "macro": (panels.macro, panels.MACRO_SQL), "news": (panels.news, panels.NEWS_SQL)}
-
 # The lexicon of the fallback news scorer.
 POSITIVE = "approval approved beat beats bullish contract gain growth improve improves launch outperform partnership profit positive record raised strong surge upgrade".split()
 NEGATIVE = "bearish crash cut decline delay downgrade fall fraud investigation lawsuit layoff loss miss negative penalty recall risk weak warning".split()
+# The fallback scorer's step a word, and its confidence: floor, slope, ceiling, share of the other side, both sides of a neutral text.
+WORD, SURE, OTHER, EVEN = 0.18, (0.34, 0.4, 0.82), 0.35, 0.3
 
-_LABEL = "CASE WHEN p_pos >= p_neg AND p_pos >= p_neu THEN 'pos' WHEN p_neg >= p_neu THEN 'neg' ELSE 'neu' END"
-_RET = "(SELECT asset, date, ln(adj_close) - lag(ln(adj_close)) OVER (PARTITION BY asset ORDER BY date) AS r FROM {bars})"
-_CUBE = "(SELECT n_name AS arm, c_mktsegment AS model, year(o_orderdate) AS backend, o_totalprice AS metric FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey)"
-_EQ = "(SELECT date, sum(r) OVER (ORDER BY date) AS lv FROM (SELECT date, avg(r) AS r FROM " + _RET + " q WHERE r IS NOT NULL GROUP BY date) q2)"
-
-REPORTS: dict[str, str] = {
-    "market_return": f"SELECT date, round(avg(r), 8) AS market_ret, count(r) AS n FROM {_RET} q GROUP BY date",
-    "trading_calendar": "SELECT date FROM {bars} GROUP BY date HAVING count(DISTINCT asset) = (SELECT count(DISTINCT asset) FROM {bars})",
-    "universe_topk": """SELECT asset, round(mdv, 4) AS median_dollar_volume FROM (SELECT asset, PCT(close * volume; 0.5) AS mdv, count(DISTINCT date) AS n FROM {bars} GROUP BY asset) q
-        WHERE n >= 0.9 * (SELECT max(n) FROM (SELECT count(DISTINCT date) AS n FROM {bars} GROUP BY asset) m) ORDER BY mdv DESC, asset LIMIT 10""",
-    "class_mix": f"SELECT group_key, round(avg(CASE WHEN lab = 'pos' THEN 1.0 ELSE 0.0 END), 8) AS share_pos, round(avg(CASE WHEN lab = 'neg' THEN 1.0 ELSE 0.0 END), 8) AS share_neg, round(avg(conf), 8) AS mean_confidence, count(*) AS n FROM (SELECT group_key, {_LABEL} AS lab, greatest(p_pos, p_neg, p_neu) AS conf FROM {{news}}) q GROUP BY group_key",
-    "audit_distribution": """SELECT group_key, n, round(m, 6) AS mean, round(sqrt(v), 6) AS sd, CASE WHEN n > 2 AND v > 0 THEN round(m3 / (v * sqrt(v)), 5) END AS skew, CASE WHEN n > 3 AND v > 0 THEN round(m4 / (v * v) - 3, 5) END AS kurtosis
-        FROM (SELECT n1.group_key, count(*) AS n, any_value(mu) AS m, avg((raw_score - mu) * (raw_score - mu)) AS v, avg(power(raw_score - mu, 3)) AS m3, avg(power(raw_score - mu, 4)) AS m4
-              FROM {news} n1 JOIN (SELECT group_key, avg(raw_score) AS mu FROM {news} GROUP BY group_key) c ON n1.group_key = c.group_key GROUP BY n1.group_key) q""",
-    "same_sign_concentration": "SELECT ticker, count(*) AS n, round(avg(CASE WHEN raw_score > 0 THEN 1.0 ELSE 0.0 END), 8) AS share_pos FROM {news} WHERE raw_score <> 0 GROUP BY ticker HAVING avg(CASE WHEN raw_score > 0 THEN 1.0 ELSE 0.0 END) > 0.6 OR avg(CASE WHEN raw_score > 0 THEN 1.0 ELSE 0.0 END) < 0.4",
-    "quantile_table": "SELECT group_key, round(PCT(raw_score; 0.1), 6) AS p10, round(PCT(raw_score; 0.5), 6) AS median, round(PCT(raw_score; 0.9), 6) AS p90, round(PCT(raw_score; 0.75) - PCT(raw_score; 0.25), 6) AS iqr, round(avg(CASE WHEN greatest(p_pos, p_neg, p_neu) > 0.9 THEN 1.0 ELSE 0.0 END), 8) AS share_sure FROM {news} GROUP BY group_key",
-    "score_histogram": """SELECT b AS bin, count(*) AS n, round(count(*) / (0.025 * any_value(total)), 8) AS density FROM (SELECT least(CAST(floor((raw_score + 1) / 0.025) AS INT), 79) AS b, (SELECT count(*) FROM {news}) AS total FROM {news}) q GROUP BY b""",
-    "ecdf": "SELECT x, round(sum(n) OVER (ORDER BY x) / (SELECT count(*) FROM {news}), 8) AS share FROM (SELECT round(raw_score, 2) AS x, count(*) AS n FROM {news} GROUP BY round(raw_score, 2)) q",
-    "monthly_sentiment": "SELECT group_key, year(valid_time) AS y, month(valid_time) AS m, round(avg(raw_score), 8) AS mean, round(stddev_samp(raw_score), 6) AS sd FROM {news} GROUP BY group_key, year(valid_time), month(valid_time)",
-    "monthly_pivot": "SELECT year(date) AS y, month(date) AS m, " + ", ".join(f"round(avg(CASE WHEN asset = 'Brand#{i}{j}' THEN close END), 4) AS brand_{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)) + " FROM {bars} GROUP BY year(date), month(date)",
-    "psi": """SELECT round(sum((a - e) * ln(a / e)), 6) AS psi FROM (SELECT b, sum(CASE WHEN late THEN 1.0 ELSE 0.0 END) / any_value(nl) + 0.000001 AS a, sum(CASE WHEN late THEN 0.0 ELSE 1.0 END) / any_value(ne) + 0.000001 AS e FROM (
-          SELECT late, """ + " + ".join(f"CASE WHEN raw_score >= e{i} THEN 1 ELSE 0 END" for i in range(1, 10)) + """ AS b, sum(CASE WHEN late THEN 1 ELSE 0 END) OVER () AS nl, sum(CASE WHEN late THEN 0 ELSE 1 END) OVER () AS ne
-          FROM (SELECT raw_score, article_id % 2 = 1 AS late, 1 AS one FROM {news}) s JOIN (SELECT 1 AS one, """ + ", ".join(f"PCT(raw_score; 0.{i}) AS e{i}" for i in range(1, 10)) + """ FROM {news} WHERE article_id % 2 = 0) edges ON s.one = edges.one) q GROUP BY b) z""",
-    "spearman_agreement": """SELECT round((sum(ra * rb) - sum(ra) * sum(rb) / count(*)) / sqrt((sum(ra * ra) - sum(ra) * sum(ra) / count(*)) * (sum(rb * rb) - sum(rb) * sum(rb) / count(*))), 6) AS spearman, round(avg(CASE WHEN sign(a) = sign(b) THEN 1.0 ELSE 0.0 END), 8) AS agreement, count(*) AS n
-        FROM (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM (
-          SELECT ticker, round(avg(raw_score), 6) AS a, round(avg(CASE WHEN group_key = 'click' THEN raw_score ELSE -raw_score / 2 END), 6) AS b FROM {news} GROUP BY ticker) s) q""",
-    "best_by_arm": f"SELECT arm, model, round(mean, 4) AS mean_metric, n FROM (SELECT arm, model, mean, n, row_number() OVER (PARTITION BY arm ORDER BY mean DESC, model) AS rn FROM (SELECT arm, model, avg(metric) AS mean, count(*) AS n FROM {_CUBE} c GROUP BY arm, model) q) z WHERE rn = 1",
-    "metric_cube": f"SELECT arm, model, backend, round(sum(metric), 2) AS total, round(min(metric), 4) AS lo, round(max(metric), 4) AS hi, count(*) AS n FROM {_CUBE} c GROUP BY CUBE (arm, model, backend)",
-    "backend_spread": f"SELECT model, round(max(m) - min(m), 4) AS spread FROM (SELECT model, backend, avg(metric) AS m FROM {_CUBE} c GROUP BY model, backend) q GROUP BY model",
-    "position_rollup": """SELECT p_brand AS symbol, round(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END), 4) AS quantity, round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE -l_extendedprice END), 2) AS cash,
-        round(sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END) / nullif(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity END), 0), 4) AS average_price FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_linestatus = 'F' GROUP BY p_brand""",
-    "open_risk": "SELECT p_brand AS symbol, round(abs(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END)) * avg(l_extendedprice / l_quantity * l_discount), 2) AS risk FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand",
-    "ticker_summary": "SELECT ticker, round(avg(raw_score), 8) AS score, round(avg(p_pos), 8) AS p_pos, round(avg(p_neg), 8) AS p_neg, count(*) AS n FROM {news} GROUP BY ticker ORDER BY avg(raw_score) DESC, count(*) DESC",
-    "latest_per_ticker": "SELECT ticker, article_id, round(raw_score, 8) AS raw_score FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY valid_time DESC, article_id DESC) AS rn FROM {news}) q WHERE rn = 1",
-    "top_signals": "SELECT ticker, round(s, 8) AS signal FROM (SELECT ticker, avg(raw_score) AS s FROM {news} GROUP BY ticker) q WHERE abs(s) >= 0.05 ORDER BY abs(s) DESC, ticker LIMIT 20",
-    "recent_candles": "SELECT asset, date, round(open, 9) AS open, round(high, 9) AS high, round(low, 9) AS low, round(close, 9) AS close, round(100 * (close / prev - 1), 6) AS change FROM (SELECT *, coalesce(lag(close) OVER (PARTITION BY asset ORDER BY date), open) AS prev, row_number() OVER (PARTITION BY asset ORDER BY date DESC) AS rn FROM {bars}) q WHERE rn <= 20",
-    "moving_average": "SELECT asset, date, round(avg(close) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS ma20 FROM {bars}",
-    "rebased_path": f"SELECT date, round(exp(lv - first_value(lv) OVER (ORDER BY date)), 8) AS rebased FROM {_EQ} e",
-    "drawdown": f"SELECT date, round(exp(lv) / max(exp(lv)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1, 8) AS drawdown FROM {_EQ} e",
-    "rolling_sharpe": f"SELECT date, CASE WHEN count(r) OVER w = 63 THEN round(avg(r) OVER w / nullif(stddev_samp(r) OVER w, 0) * sqrt(252), 5) END AS sharpe FROM (SELECT date, exp(lv - lag(lv) OVER (ORDER BY date)) - 1 AS r FROM {_EQ} e) q WINDOW w AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)",
-    "monthly_returns": f"SELECT y, m, round(exp(l - coalesce(lag(l) OVER (ORDER BY y, m), l0)) - 1, 8) AS ret FROM (SELECT year(date) AS y, month(date) AS m, max_by(lv, date) AS l, (SELECT min_by(lv, date) FROM {_EQ} e0) AS l0 FROM {_EQ} e GROUP BY year(date), month(date)) q",
-    "sparse_series": "SELECT indicator, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM {macro} GROUP BY indicator HAVING count(*) < 2000",
-    "pooled_variance": f"SELECT round(var_samp(r), 10) AS variance, count(r) AS n FROM {_RET} q WHERE r IS NOT NULL",
-    "lexicon_sentiment": "SELECT doc_id, round(s, 4) AS sentiment, round(CASE WHEN s > 0 THEN c WHEN s < 0 THEN (1 - c) * 0.35 ELSE 0.3 END, 4) AS p_pos, round(CASE WHEN s < 0 THEN c WHEN s > 0 THEN (1 - c) * 0.35 ELSE 0.3 END, 4) AS p_neg FROM (SELECT doc_id, s, least(0.82, 0.34 + abs(s) * 0.4) AS c FROM (SELECT doc_id, greatest(-1.0, least(1.0, 0.18 * ("
-    + " + ".join(f"CASE WHEN t LIKE '% {w} %' THEN 1 ELSE 0 END" for w in POSITIVE) + ") - 0.18 * (" + " + ".join(f"CASE WHEN t LIKE '% {w} %' THEN 1 ELSE 0 END" for w in NEGATIVE)
-    + "))) AS s FROM (SELECT doc_id, concat(' ', REPLACE_ALL(lower(text); '[^a-z]+'; ' '), ' ') AS t FROM {documents}) a) b) c2",
-    "entity_masking": "SELECT n_nationkey, REPLACE_ALL(n_name; '(?i)an|ia'; '[ENTITY]') AS masked, upper(trim(n_name)) AS symbol FROM {nation}",
-    "word_gate": "SELECT source, count(*) AS n FROM {documents} WHERE length(text) - length(replace(text, ' ', '')) >= 79 GROUP BY source",
-    "distinct_texts_scored_once": "SELECT count(*) AS n_rows, count(DISTINCT text) AS n_calls FROM {documents}",
-    "liquidity_rank": "SELECT asset, rank() OVER (ORDER BY mdv DESC) AS liquidity_rank FROM (SELECT asset, round(PCT(close * volume; 0.5), 4) AS mdv FROM {bars} GROUP BY asset) q",
-    "beta_to_market": f"SELECT asset, round(covar_samp(r, m) / nullif(var_samp(m), 0), 4) AS beta FROM (SELECT asset, r, avg(r) OVER (PARTITION BY date) AS m FROM {_RET} q) z WHERE r IS NOT NULL GROUP BY asset",
-}
+
+def _share(cond: Column) -> Column:
+    return F.avg(cond.cast("double"))
+
+
+def _returns(spark, d) -> DataFrame:
+    return panels.bars(spark, d).select("asset", "date", log_return(F.col("adj_close")).alias("r"))
+
+
+def _equal_weight(spark, d) -> DataFrame:
+    """t, date, lv: the running sum of the mean return by date."""
+    by_date = _returns(spark, d).where("r is not null").groupBy("date").agg(F.avg("r").alias("r"))
+    return by_date.select("date", F.sum("r").over(Window.orderBy("date")).alias("lv"))
+
+
+def _cube(spark, d) -> DataFrame:
+    """arm, model, backend, metric: nations, segments, years, prices of orders."""
+    o = panels.read(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("backend"), F.col("o_totalprice").alias("metric"))
+    c = panels.read(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("model"))
+    n = panels.read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("arm"))
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).select("arm", "model", "backend", "metric")
+
+
+def _lines(spark, d) -> DataFrame:
+    part = panels.read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
+    line = panels.read(spark, d, "lineitem")
+    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    return line.join(part, line["l_partkey"] == part["p_partkey"]).withColumn("signed", signed)
+
+
+def exact_percentiles(rows: DataFrame, key: str, x: str, shares: dict[str, float]) -> DataFrame:
+    """key and one linearly interpolated percentile for each name in ``shares``.
+
+    Values are counted first; each rank is then looked up among a key's distinct values, so
+    no task holds all values of a key.
+    """
+    counts = rows.where(F.col(x).isNotNull()).groupBy(key, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key).orderBy("_x")
+    below = counts.select(key, "_x", "_n", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.lead("_x").over(w).alias("_y"))
+    total = counts.groupBy(key).agg(F.sum("_n").alias("_all"))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in shares.items()]))
+    wanted = total.select(key, asked.alias("q"), "_all").select(F.col(key).alias("_key"), F.col("q.name").alias("_name"), ((F.col("_all") - 1) * F.col("q.p")).alias("_at"))
+    hit = below.join(F.broadcast(wanted), (F.col(key) == F.col("_key")) & (F.floor("_at") >= F.col("_b")) & (F.floor("_at") < F.col("_b") + F.col("_n")))
+    above = F.when(F.floor("_at") + 1 < F.col("_b") + F.col("_n"), F.col("_x")).otherwise(F.coalesce("_y", "_x"))
+    value = F.col("_x") + (above - F.col("_x")) * (F.col("_at") - F.floor("_at"))
+    return hit.withColumn("_v", value).groupBy(key).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in shares])
+
+
+# --- panel -----------------------------------------------------------------------------
+
+
+def market_return(spark, d):
+    return _returns(spark, d).groupBy("date").agg(F.round(F.avg("r"), 8).alias("market_ret"), F.count("r").alias("n"))
+
+
+def trading_calendar(spark, d):
+    b = panels.bars(spark, d).select("asset", "date")
+    n = b.agg(F.countDistinct("asset").alias("n"))
+    return b.groupBy("date").agg(F.countDistinct("asset").alias("m")).join(F.broadcast(n), F.col("m") == F.col("n")).select("date")
+
+
+def universe_topk(spark, d):
+    g = panels.bars(spark, d).groupBy("asset").agg(F.median(F.col("close") * F.col("volume")).alias("mdv"), F.countDistinct("date").alias("n"))
+    long = g.join(F.broadcast(g.agg(F.max("n").alias("most"))), F.col("n") >= 0.9 * F.col("most"))
+    return long.orderBy(F.desc("mdv"), "asset").limit(10).select("asset", F.round("mdv", 4).alias("median_dollar_volume"))
+
+
+def liquidity_rank(spark, d):
+    g = panels.bars(spark, d).groupBy("asset").agg(F.round(F.median(F.col("close") * F.col("volume")), 4).alias("mdv"))
+    return g.select("asset", F.rank().over(Window.orderBy(F.desc("mdv"))).alias("liquidity_rank"))
+
+
+def recent_candles(spark, d):
+    b = panels.bars(spark, d).withColumn("prev", F.coalesce(F.lag("close").over(ordered()), "open")).withColumn("rn", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("date"))))
+    return b.where("rn <= 20").select("asset", "date", *[F.round(c, 9).alias(c) for c in ("open", "high", "low", "close")], F.round(100 * (F.col("close") / F.col("prev") - 1), 6).alias("change"))
+
+
+def moving_average(spark, d):
+    return panels.bars(spark, d).select("asset", "date", F.round(F.avg("close").over(ordered().rowsBetween(-19, 0)), 6).alias("ma20"))
+
+
+def rebased_path(spark, d):
+    e = _equal_weight(spark, d)
+    return e.select("date", F.round(F.exp(F.col("lv") - F.first("lv").over(Window.orderBy("date"))), 8).alias("rebased"))
+
+
+def drawdown(spark, d):
+    e = _equal_weight(spark, d).select("date", F.col("date").alias("t"), F.exp("lv").alias("value"))
+    return e.select("date", F.round(backtest.drawdown(F.col("value")), 8).alias("drawdown"))
+
+
+def rolling_sharpe(spark, d):
+    w = Window.orderBy("date")
+    r = _equal_weight(spark, d).select("date", (F.exp(F.col("lv") - F.lag("lv").over(w)) - 1).alias("r"))
+    last = w.rowsBetween(-62, 0)
+    ratio = F.avg("r").over(last) / F.nullif(F.stddev_samp("r").over(last), F.lit(0.0)) * F.sqrt(F.lit(252.0))
+    return r.select("date", F.when(F.count("r").over(last) == 63, F.round(ratio, 5)).alias("sharpe"))
+
+
+def monthly_returns(spark, d):
+    e = _equal_weight(spark, d)
+    m = e.groupBy(F.year("date").alias("y"), F.month("date").alias("m")).agg(F.max_by("lv", "date").alias("l"), F.min_by("lv", "date").alias("first"))
+    w = Window.orderBy("y", "m")
+    opening = F.coalesce(F.lag("l").over(w), F.first("first").over(w))
+    return m.select("y", "m", F.round(F.exp(F.col("l") - opening) - 1, 8).alias("ret"))
+
+
+def sparse_series(spark, d):
+    return panels.macro(spark, d).groupBy("indicator").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).where("n < 2000")
+
+
+def pooled_variance(spark, d):
+    return _returns(spark, d).agg(F.round(F.var_samp("r"), 10).alias("variance"), F.count("r").alias("n"))
+
+
+def beta_to_market(spark, d):
+    r = _returns(spark, d).withColumn("m", F.avg("r").over(Window.partitionBy("date"))).where("r is not null")
+    return r.groupBy("asset").agg(F.round(F.covar_samp("r", "m") / F.nullif(F.var_samp("m"), F.lit(0.0)), 4).alias("beta"))
 
 
-def _spelled(sql: str, duck: bool) -> str:
-    pct = r"quantile_cont(\1, \2)" if duck else r"percentile(\1, \2)"
-    sql = re.sub(r"(?<![\w.#'])(\d+\.\d+)(?![\de])", r"\1e0", re.sub(r"PCT\(([^;]+?); ([^)]+)\)", pct, sql))  # doubles, not decimals
-    return re.sub(r"REPLACE_ALL\((.+?); ('.*?'); ('.*?')\)", r"regexp_replace(\1, \2, \3, 'g')" if duck else r"regexp_replace(\1, \2, \3)", sql)
+def monthly_pivot(spark, d):
+    brands = [f"Brand#{i}" for i in range(1, 26)]
+    p = panels.bars(spark, d).groupBy(F.year("date").alias("y"), F.month("date").alias("m")).pivot("asset", brands).agg(F.round(F.avg("close"), 4))
+    return p.select("y", "m", *[F.col(f"`{b}`").alias(b.lower().replace("#", "_")) for b in brands])
 
 
-def _names(sql: str) -> list[str]:
-    return sorted(set(re.findall(r"\{(\w+)\}", sql)))
+# --- news --------------------------------------------------------------------------------
 
 
-def spark_report(name: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = REPORTS[name]
-        inputs = {n: INPUTS[n][0](spark, sf_dir) if n in INPUTS else panels.read(spark, sf_dir, n) for n in _names(sql)}
-        return spark.sql(_spelled(sql, False), **inputs)
+def class_mix(spark, d):
+    n = panels.news(spark, d).withColumn("top", F.greatest("p_pos", "p_neg", "p_neu"))
+    label = F.when(F.col("p_pos") == F.col("top"), "pos").when(F.col("p_neg") == F.col("top"), "neg").otherwise("neu")
+    return n.withColumn("label", label).groupBy("group_key").agg(*[F.round(_share(F.col("label") == x), 8).alias(f"share_{x}") for x in ("pos", "neg")], F.round(F.avg("top"), 8).alias("mean_confidence"), F.count(F.lit(1)).alias("n"))
 
-    return query
 
+def audit_distribution(spark, d):
+    n, s = panels.news(spark, d), F.col("raw_score")
+    g = n.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("sd"), F.skewness(s).alias("skew"), F.kurtosis(s).alias("kurtosis"))
+    return g.select("group_key", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.when((F.col("n") > 2) & (F.col("sd") > 0), F.round("skew", 5)).alias("skew"), F.when((F.col("n") > 3) & (F.col("sd") > 0), F.round("kurtosis", 5)).alias("kurtosis"))
 
-def duck_report(name: str) -> str:
-    sql = REPORTS[name]
-    ctes = [INPUTS[n][1] for n in _names(sql) if n in INPUTS]
-    body = _spelled(re.sub(r"\{(\w+)\}", r"\1", sql), True)
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+
+def same_sign_concentration(spark, d):
+    g = panels.news(spark, d).where("raw_score <> 0").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), _share(F.col("raw_score") > 0).alias("p"))
+    return g.where((F.col("p") > 0.6) | (F.col("p") < 0.4)).select("ticker", "n", F.round("p", 8).alias("share_pos"))
+
+
+def quantile_table(spark, d):
+    n = panels.news(spark, d)
+    q = exact_percentiles(n, "group_key", "raw_score", {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9})
+    sure = n.groupBy("group_key").agg(F.round(_share(F.greatest("p_pos", "p_neg", "p_neu") > 0.9), 8).alias("share_sure"))
+    return q.join(sure, "group_key").select("group_key", *[F.round(c, 6).alias(c) for c in ("p10", "median", "p90")], F.round(F.col("p75") - F.col("p25"), 6).alias("iqr"), "share_sure")
+
+
+def score_histogram(spark, d):
+    bins = panels.news(spark, d).groupBy(F.least(F.floor((F.col("raw_score") + 1) / 0.025).cast("int"), F.lit(79)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return bins.select("bin", "n", F.round(F.col("n") / (0.025 * F.sum("n").over(Window.partitionBy())), 8).alias("density"))
+
+
+def ecdf(spark, d):
+    c = panels.news(spark, d).groupBy(F.round("raw_score", 2).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("x")
+    return c.select("x", F.round(F.sum("n").over(w) / F.sum("n").over(Window.partitionBy()), 8).alias("share"))
+
+
+def monthly_sentiment(spark, d):
+    return panels.news(spark, d).groupBy("group_key", F.year("valid_time").alias("y"), F.month("valid_time").alias("m")).agg(F.round(F.avg("raw_score"), 8).alias("mean"), F.round(F.stddev_samp("raw_score"), 6).alias("sd"))
+
+
+def psi(spark, d):
+    """Drift of the odd articles' scores against deciles of the even ones'."""
+    n = panels.news(spark, d).select("raw_score", (F.col("article_id") % 2 == 1).alias("late"), F.lit(1).alias("one"))
+    cuts = {f"e{i}": i / 10 for i in range(1, 10)}
+    edges = exact_percentiles(n.where("not late"), "one", "raw_score", cuts).select(F.array(*cuts).alias("edges"))
+    b = n.join(F.broadcast(edges)).select("late", F.size(F.filter("edges", lambda e: F.col("raw_score") >= e)).alias("b"))
+    k = b.groupBy("b").agg(F.count_if("late").alias("l"), F.count_if(~F.col("late")).alias("e"))
+    every = Window.partitionBy()
+    k = k.select((F.col("l") / F.sum("l").over(every) + 0.000001).alias("a"), (F.col("e") / F.sum("e").over(every) + 0.000001).alias("e"))
+    return k.agg(F.round(F.sum((F.col("a") - F.col("e")) * F.ln(F.col("a") / F.col("e"))), 6).alias("psi"))
+
+
+def spearman_agreement(spark, d):
+    """Rank correlation of two scores of each ticker; ranks come from counted values, in ranges."""
+    click = F.when(F.col("group_key") == "click", F.col("raw_score")).otherwise(-F.col("raw_score") / 2)
+    s = panels.news(spark, d).groupBy("ticker").agg(F.round(F.avg("raw_score"), 6).alias("a"), F.round(F.avg(click), 6).alias("b"))
+    for x in ("a", "b"):
+        ranks = audits.running_counts(s.groupBy(F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("c")), "x", "c", 8)
+        s = s.join(ranks.select(F.col("x").alias(x), (F.col("before") + (F.col("c") + 1) / 2).alias(f"r{x}")), x)
+    return s.agg(F.round(F.corr("ra", "rb"), 6).alias("spearman"), F.round(_share(F.signum("a") == F.signum("b")), 8).alias("agreement"), F.count(F.lit(1)).alias("n"))
+
+
+def ticker_summary(spark, d):
+    g = panels.news(spark, d).groupBy("ticker").agg(*[F.avg(c).alias(c) for c in ("raw_score", "p_pos", "p_neg")], F.count(F.lit(1)).alias("n"))
+    return g.orderBy(F.desc("raw_score"), F.desc("n")).select("ticker", F.round("raw_score", 8).alias("score"), F.round("p_pos", 8).alias("p_pos"), F.round("p_neg", 8).alias("p_neg"), "n")
+
+
+def latest_per_ticker(spark, d):
+    last = F.max_by(F.struct("article_id", "raw_score"), F.struct("valid_time", "article_id"))
+    return panels.news(spark, d).groupBy("ticker").agg(last.alias("l")).select("ticker", "l.article_id", F.round("l.raw_score", 8).alias("raw_score"))
+
+
+def top_signals(spark, d):
+    s = panels.news(spark, d).groupBy("ticker").agg(F.avg("raw_score").alias("s")).where(F.abs("s") >= 0.05)
+    return s.orderBy(F.abs("s").desc(), "ticker").limit(20).select("ticker", F.round("s", 8).alias("signal"))
+
+
+def lexicon_sentiment(spark, d):
+    """The fallback scorer: a text's words are found once, then met with the lists."""
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "))
+    hits = lambda names: F.size(F.array_intersect(F.col("w"), F.array(*map(F.lit, names))))
+    t = panels.read(spark, d, "documents").select("doc_id", words.alias("w"))
+    raw = WORD * F.greatest(hits(POSITIVE), F.lit(0)) - WORD * F.greatest(hits(NEGATIVE), F.lit(0))
+    s = t.select("doc_id", F.when(F.col("w").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))).otherwise(0.0).alias("s"))
+    c = F.least(F.lit(SURE[2]), SURE[0] + F.abs("s") * SURE[1])
+    side = lambda mine, theirs: F.when(mine, c).when(theirs, (1 - c) * OTHER).otherwise(EVEN)
+    up, down = F.col("s") > 0, F.col("s") < 0
+    return s.select("doc_id", F.round("s", 4).alias("sentiment"), F.round(side(up, down), 4).alias("p_pos"), F.round(side(down, up), 4).alias("p_neg"))
+
+
+def entity_masking(spark, d):
+    n = panels.read(spark, d, "nation")
+    return n.select("n_nationkey", F.regexp_replace("n_name", "(?i)an|ia", "[ENTITY]").alias("masked"), F.upper(F.trim("n_name")).alias("symbol"))
+
+
+def word_gate(spark, d):
+    t = panels.read(spark, d, "documents")
+    return t.where(F.regexp_count("text", F.lit(" ")) >= 79).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_texts_scored_once(spark, d):
+    return panels.read(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("text").alias("n_calls"))
+
+
+# --- experiments and positions -------------------------------------------------------------
+
+
+def best_by_arm(spark, d):
+    b = experiments.best_of(_cube(spark, d), "metric", "model", "arm")
+    return b.select("arm", "model", F.round("mean", 4).alias("mean_metric"), "n")
+
+
+def metric_cube(spark, d):
+    return _cube(spark, d).cube("arm", "model", "backend").agg(F.round(F.sum("metric"), 2).alias("total"), F.round(F.min("metric"), 4).alias("lo"), F.round(F.max("metric"), 4).alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+def backend_spread(spark, d):
+    m = _cube(spark, d).groupBy("model", "backend").agg(F.avg("metric").alias("m"))
+    return m.groupBy("model").agg(F.round(F.max("m") - F.min("m"), 4).alias("spread"))
+
+
+def position_rollup(spark, d):
+    sell = F.col("l_returnflag") == "R"
+    x = _lines(spark, d).where("l_linestatus = 'F'").groupBy("symbol").agg(
+        F.round(F.sum("signed"), 4).alias("quantity"), F.round(F.sum(F.when(sell, F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice"))), 2).alias("cash"),
+        F.round(F.try_divide(F.sum(F.when(~sell, F.col("l_extendedprice"))), F.sum(F.when(~sell, F.col("l_quantity")))), 4).alias("average_price"))
+    return x
+
+
+def open_risk(spark, d):
+    distance = F.col("l_extendedprice") / F.col("l_quantity") * F.col("l_discount")
+    return _lines(spark, d).groupBy("symbol").agg(F.round(F.abs(F.sum("signed")) * F.avg(distance), 2).alias("risk"))
+
+
+REPORTS: dict[str, Callable] = {
+    f.__name__: f
+    for f in (
+        market_return, trading_calendar, universe_topk, class_mix, audit_distribution, same_sign_concentration, quantile_table, score_histogram, ecdf, monthly_sentiment, monthly_pivot, psi, spearman_agreement,
+        best_by_arm, metric_cube, backend_spread, position_rollup, open_risk, ticker_summary, latest_per_ticker, top_signals, recent_candles, moving_average, rebased_path, drawdown, rolling_sharpe, monthly_returns,
+        sparse_series, pooled_variance, lexicon_sentiment, entity_masking, word_gate, distinct_texts_scored_once, liquidity_rank, beta_to_market,
+    )
+}

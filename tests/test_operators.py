@@ -121,6 +121,13 @@ def test_trailing_location_against_brute_force(spark):
     assert list(newsflow.range_kth(x, lo, hi, np.full(40, 2))) == [sorted(x[a:b])[2] for a, b in zip(lo, hi, strict=True)]
 
 
+def test_priors_fall_back(spark):
+    d = spark.createDataFrame([("a", "g", 1.0), ("b", "g", 1.0), ("c", "h", 1.0)], "ticker string, group_key string, raw_score double")
+    t, g = spark.createDataFrame([("a", 0.25)], "ticker string, prior double"), spark.createDataFrame([("g", 0.5)], "group_key string, prior double")
+    got = {r.ticker: (r.prior, r.prior_found, r.s0) for r in newsflow.with_prior(d, t, g).collect()}
+    assert got == {"a": (0.25, True, 0.75), "b": (0.5, True, 0.5), "c": (0.0, False, 1.0)}
+
+
 def test_allocators():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(5, 50))
