@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 import numpy as np
 import xxhash
@@ -34,8 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
     return here.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera-{kind}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def tidy(op: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Deletes the tables that a call of op has written and its result doesn't read."""
+
+    @wraps(op)
+    def run(*args, **kwargs) -> DataFrame:
+        before = len(_MADE)
+        out = op(*args, **kwargs)
+        read = {p.rsplit("/", 2)[-2] for p in out.inputFiles()}
+        for path in _MADE[before:]:
+            if path.rsplit("/", 1)[-1] not in read:
+                delete_path(out.sparkSession, path)
+                _MADE.remove(path)
+        return out
+
+    return run
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:

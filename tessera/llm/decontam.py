@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import ascii_lower, stored, table
+from ._util import ascii_lower, stored, table, tidy
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_TOKENS = 500_000
@@ -51,6 +51,7 @@ def windows_of(items: DataFrame, window: int, key: str, text: str) -> DataFrame:
     return w.select("item", F.explode(F.transform(first, lambda i: F.slice(F.col("w"), i, window))).alias("words")).distinct()
 
 
+@tidy
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, q: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, row_id, n_words, n_hit, n_items, items_sha256, contaminated of every document row."""
     by_item = windows_of(items, window, item_key, item_text)
@@ -96,7 +97,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, q: int =
     joined = d.join(by_doc, "row_id", "left").select("doc_id", "row_id", words_of(F.col("_text")).alias("w"), "cand")
     sure = F.filter("cand", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["words"])) == c["words"])
     checked = joined.select("doc_id", "row_id", F.size("w").cast("long").alias("n_words"), sure.alias("sure"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("sure", lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1)))))
+
+    def reach(s: Column, c: Column) -> Column:
+        """Words covered so far, and up to where, in order of the starts."""
+        end = c["start"] + F.size(c["words"])
+        return F.struct((s["n"] + F.greatest(end - F.greatest(c["start"], s["end"]), F.lit(0))).alias("n"), F.greatest(end, s["end"]).alias("end"))
+
+    covered = F.aggregate(F.array_sort("sure"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), reach, lambda s: s["n"])
     checked = stored(
         checked.select(
             "doc_id",

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import stored, table
+from ._util import stored, table, tidy
 
 BUCKETS = 8192
 _MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -159,6 +159,7 @@ def address_parts(url: Column) -> dict[str, Column]:
     return {"host": host, "site": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), "suffix": F.regexp_extract(host, r"\.([^.]+)$", 1)}
 
 
+@tidy
 def identify_pages(pages: DataFrame, docs: DataFrame, strength: float = 60.0, least: float = 0.5, max_labelled: int = 4_000) -> DataFrame:
     """page_id, host, suffix, declared, letters, lang, posterior, accepted of every page."""
     langs, model = fit(docs, max_labelled=max_labelled)
@@ -168,6 +169,7 @@ def identify_pages(pages: DataFrame, docs: DataFrame, strength: float = 60.0, le
     return out.select("page_id", "host", "suffix", "declared", "letters", "lang", "posterior", "accepted")
 
 
+@tidy
 def identify_documents(docs: DataFrame, strength: float = 60.0, least: float = 0.5, max_labelled: int = 4_000) -> DataFrame:
     """doc_id, declared, language, posterior, accepted; the lang column is the declaration, the source the host."""
     langs, model = fit(docs, max_labelled=max_labelled)

@@ -25,7 +25,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import stored, table, uniform
+from ._util import stored, table, tidy, uniform
 
 DIMENSIONS = ("source", "lang", "topic")
 ALPHA = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -118,6 +118,7 @@ def _cells(rows: DataFrame, targets: dict[str, dict] | None, budget: float, **li
     return stored(cells.select(*[F.col(d).alias(f"_c_{d}") for d in DIMENSIONS], F.coalesce("ratio", F.lit(1.0)).alias("_c_weight"), F.col("probability").alias("_c_probability")), "mixture")
 
 
+@tidy
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = 0.6, seed: int = 0, key: str = "doc_id", topic: str | None = None, **limits) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled of every row."""
     rows = _described(docs, topic, seed, key)
@@ -127,6 +128,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float =
     return rows.join(c, on[0] & on[1] & on[2]).select("doc_id", *DIMENSIONS, "n_tokens", F.col("_c_weight").alias("weight"), F.col("_c_probability").alias("probability"), (F.col("_draw") < F.col("_c_probability")).alias("sampled"))
 
 
+@tidy
 def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = 0.6, seed: int = 0, key: str = "doc_id", topic: str | None = None, **limits) -> DataFrame:
     """The rows of docs that :func:`mix` samples; the texts stay in place where the cell table is small enough to broadcast."""
     rows = _described(docs, topic, seed, key)

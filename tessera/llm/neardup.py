@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import mix64, shingle_set, stored, table, with_group
+from ._util import mix64, shingle_set, stored, table, tidy, with_group
 from .components import components
 
 BANDS, ROWS, BITS, MINIMA = 32, 4, 4, 256
@@ -225,6 +225,7 @@ def linked_in_blocks(placed: DataFrame, sets: DataFrame, percent: int, floor: fl
     return groups.repartition("top", "i", "j").sortWithinPartitions("top", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+@tidy
 def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = 0.12, draws: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, row_id, stays of every row."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(key).cast("long"), text).alias("r"), F.col(text).alias("t"))

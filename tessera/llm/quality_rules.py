@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import all_of, stored, table
+from ._util import all_of, stored, table, tidy
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -129,10 +129,10 @@ def _covers(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, max_conditions: int, cuts: int) -> Rule:
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int) -> Rule:
     rule: list[Condition] = []
     on = np.ones(len(bad), bool)
-    while len(rule) < max_conditions:
+    while True:
         p0, n0 = int((on & bad).sum()), int((on & ~bad).sum())
         if not p0 or not n0:
             break
@@ -162,15 +162,18 @@ def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float
     return ((p - n) / (p + n) if p + n else -1.0), p, n
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, max_rules: int = 12, max_conditions: int = 4, cuts: int = 24, min_precision: float = 0.95, min_cover: int = 3) -> list[Rule]:
-    """Ordered reject rules.  ``fold`` is True for the rows that prune."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, cuts: int = 24, min_precision: float = 0.95, min_cover: int = 3) -> list[Rule]:
+    """Ordered reject rules.  ``fold`` is True for the rows that prune.
+
+    Rejected rows that only an imprecise rule covers are set aside, and growing goes on with the others.
+    """
     rules: list[Rule] = []
-    left = np.ones(len(bad), bool)
-    while len(rules) < max_rules:
-        g, p = left & ~fold, left & fold
+    left, aside = np.ones(len(bad), bool), np.zeros(len(bad), bool)
+    while True:
+        g, p = left & ~fold & ~aside, left & fold
         if (bad & g).sum() < min_cover or not (bad & p).any():
             break
-        rule = _grow({k: v[g] for k, v in x.items()}, bad[g], max_conditions, cuts)
+        rule = _grow({k: v[g] for k, v in x.items()}, bad[g], cuts)
         xp, yp = {k: v[p] for k, v in x.items()}, bad[p]
         while len(rule) > 1:
             shorter = max((rule[:i] for i in range(1, len(rule))), key=lambda r: _worth(r, xp, yp)[0])
@@ -179,8 +182,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, max_rules
             rule = shorter
         _, tp, fp = _worth(rule, xp, yp) if rule else (0, 0, 0)
         on = _covers(rule, x, len(bad))
-        if not rule or tp == 0 or tp / (tp + fp) < min_precision or (on & left & bad).sum() < min_cover:
+        if not rule:
             break
+        if tp == 0 or tp / (tp + fp) < min_precision or (on & left & bad).sum() < min_cover:
+            aside |= on & g & bad
+            continue
         rules.append(rule)
         left &= ~on
     return rules
@@ -195,6 +201,7 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+@tidy
 def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """Statistics and verdict of every row; the rules are learned from ``labels.quality``."""
     stats = stored(with_stats(docs, key, text), "quality")

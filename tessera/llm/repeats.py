@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import mix64, stored, table, with_group
+from ._util import mix64, stored, table, tidy, with_group
 
 K = 32
 SEGMENT = 1 << 19
@@ -414,6 +414,7 @@ def remove_spans(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("doc_id", "t", "cuts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean, kept_text string")
 
 
+@tidy
 def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", room: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats, kept_text of every row."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(key, text).alias("row"))

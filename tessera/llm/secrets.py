@@ -37,6 +37,7 @@ PREFIXED = f"()((?<![A-Za-z0-9]){PREFIX})"
 _LEAD = rf"(?i:{_CUES})[\w.\-]{{0,100}}(?:\\?[\"'`]|&quot;)?\]?[ \t]*(?:=>|:=|==?|:)[ \t]*(?:\\?[\"'`]|&quot;|&#39;)?"
 # Up to the same quote where it is closed in the line; else up to a blank, a quote, a tag, or an & before the next name=.
 ASSIGNED = rf"({_LEAD}(?:(?i:bearer|basic)[ \t]+)?)((?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|[^\s\"'`&<]++(?:(?:&(?!quot;|#39;|amp;|[\w.\-]{{1,100}}=)|<(?![/a-zA-Z!]))[^\s\"'`&<]*+){{0,64}})"
+CHUNK = 256
 HARMLESS = r"(?i)(commit|sha-?\d|md5|checksum|digest|uuid|hash|example|sample|placeholder|build|href|src|url|isbn|etag)"
 WORDS = ("the and ing tion with that this from have which their about would there other image page index content article section title button header footer value "
          "string default config user name file path data test example number order version release build author report system public").split()
@@ -130,25 +131,32 @@ def train(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 
-def _places(pattern: str) -> Column:
-    """start, value of every match in t."""
+def _parts(pattern: str) -> Column:
+    """gap, lead, value of every match in t, in order."""
     group = lambda i: F.regexp_extract_all("t", F.lit(pattern), F.lit(i))
-    parts = F.arrays_zip(F.split("t", pattern).alias("gap"), group(1).alias("lead"), group(2).alias("value"))
-    none = F.expr("struct(0 AS at, cast(array() AS array<struct<start: int, value: string>>) AS found)")
+    # the last gap has no match after it
+    return F.filter(F.arrays_zip(F.split("t", pattern).alias("gap"), group(1).alias("lead"), group(2).alias("value")), lambda x: x["value"].isNotNull())
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"]) + F.length(x["lead"])
-        return F.struct((start + F.length(x["value"])).alias("at"), F.array_append(s["found"], F.struct(start.alias("start"), x["value"].alias("value"))).alias("found"))
 
-    # the last gap has no match after it
-    found = F.aggregate(F.filter(parts, lambda x: x["value"].isNotNull()), none, step, lambda s: s["found"])
-    return F.when(F.col("t").rlike(pattern), found).otherwise(F.expr("cast(array() AS array<struct<start: int, value: string>>)"))
+def _placed(parts: str) -> Column:
+    """start, value of each match: running sums inside chunks, then of the chunks, so that no long array grows item by item."""
+    size = lambda x: F.length(x["gap"]) + F.length(x["lead"]) + F.length(x["value"])
+
+    def before(a: Column, f, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), F.expr("cast(array() AS array<int>)").alias("all"))
+        return F.aggregate(a, zero, lambda s, x: F.struct((s["at"] + f(x)).alias("at"), F.array_append(s["all"], s["at"]).alias("all")), lambda s: s["all"])
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / CHUNK).cast("int")), lambda i: F.slice(parts, i * CHUNK + 1, CHUNK))
+    bases = before(chunks, lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + size(x)), F.lit(0))
+    begins = F.flatten(F.zip_with(chunks, bases, lambda c, b: before(c, size, b)))
+    return F.zip_with(parts, begins, lambda x, b: F.struct((b + F.length(x["gap"]) + F.length(x["lead"])).alias("start"), x["value"].alias("value")))
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", around: int = 40) -> DataFrame:
     """doc_id, path, start (in characters, from 0), before, value, after of every candidate."""
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("t")).where(F.col("t").rlike(f"{RUN}|{PREFIXED}|{ASSIGNED}"))
-    d = d.select("*", _places(ASSIGNED).alias("assigned"), _places(PREFIXED).alias("prefixed"), _places(RUN).alias("runs"))
+    d = d.select("*", _parts(ASSIGNED).alias("a"), _parts(PREFIXED).alias("p"), _parts(RUN).alias("r"))
+    d = d.select("doc_id", "path", "t", _placed("a").alias("assigned"), _placed("p").alias("prefixed"), _placed("r").alias("runs"))
     trimmed = F.transform("assigned", lambda c: F.struct(c["start"].alias("start"), F.regexp_replace(c["value"], r"[,;\\]++$", "").alias("value")))
     d = d.withColumn("assigned", F.filter(trimmed, lambda c: c["value"] != ""))
     end = lambda c: c["start"] + F.length(c["value"])

@@ -81,8 +81,8 @@ def shard_of(key: Column, tree: tuple[Leaf, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, shards)), at + 1)
 
 
-def with_slots(df: DataFrame, shard: str = "shard", buckets: int = 1024) -> DataFrame:
-    """Number the rows of each shard from 0 without a gap."""
+def with_slots(df: DataFrame, shard: str = "shard", buckets: int = 1024, chunk: int = 50_000) -> DataFrame:
+    """Number the rows of each shard from 0 without a gap; more than ``chunk`` copies of a row are dealt over tasks."""
     cols = df.columns
     dense = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit("slot")), F.lit(buckets)))
     sizes = dense.groupBy(shard, "_b").agg(F.sum("_n").alias("_rows"))
@@ -91,8 +91,11 @@ def with_slots(df: DataFrame, shard: str = "shard", buckets: int = 1024) -> Data
     inside = Window.partitionBy(shard, "_b").orderBy(*[c for c in cols if c != shard]).rowsBetween(Window.unboundedPreceding, -1)
     dense = dense.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     out = dense.join(starts, (dense[shard] == starts["_s"]) & (dense["_b"] == starts["_bb"]))
-    first = F.col("_start") + F.col("_in")
-    return out.select(*cols, F.explode(F.sequence(first, first + F.col("_n") - 1)).alias("slot"))
+    out = out.select(*cols, "_n", (F.col("_start") + F.col("_in")).alias("_first"))
+    few = out.where(F.col("_n") <= chunk).select(*cols, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("slot"))
+    parts = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1, F.lit(chunk).cast("long")))
+    many = out.where(F.col("_n") > chunk).select(*cols, (F.col("_first") + F.col("_n")).alias("_end"), parts.alias("_from")).repartition("_from")
+    return few.unionByName(many.select(*cols, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk, F.col("_end")) - 1)).alias("slot")))
 
 
 def shard_documents(docs: DataFrame, tree: tuple[Leaf, ...] | None = None, key: str = "doc_id", text: str = "text", buckets: int = 1024) -> DataFrame:

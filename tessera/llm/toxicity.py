@@ -10,6 +10,9 @@ the weight found and of the weight per word, so that a long text needs more of i
 ``max_labelled`` bounds the labelled rows that weights and calibration are fitted on (by
 hash of the id, each label apart); scoring covers every row and whole texts.
 
+An entry must be in ``least`` toxic texts of the sample and stand out by ``least_sure`` nats;
+of a word's beginnings the longest with the same evidence counts, or the whole word.
+
 Defined results: null, empty and blank texts score the floor of the calibration; rows
 that repeat are scored alike; without labels of both classes the built-in seed lexicon and
 default calibration are used; an empty table gives an empty result; further columns are
@@ -18,7 +21,6 @@ ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,33 +32,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import stored, table
+from ._util import stored, table, tidy
 
 # Look-alike letters (Cyrillic, Greek) and the Latin letters they are read as.
 LOOK_ALIKES = dict(zip("абсеһіјкмнорԛѕтихуԝгҽαβεηικνορτυχω", "abcehijkmhopqstuxywreabenikvoptuxw", strict=True))
-# Signs that stand for letters inside words.
-STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
+# Small capitals and the dotless i.
+SMALL = dict(zip("ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢı", "abcdefghijklmnoprstuvwyzi", strict=True))
+# Signs that stand for letters inside words; some stand for two letters.
+STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
+SECOND = {"1": "l", "!": "l", "|": "i"}
 # Seed words for use without labels.
 SEED = ("idiot", "moron", "stupid", "worthless", "pathetic", "disgusting", "scum", "trash", "loser", "clown")
 # Harmless phrases around lexicon words.
 EXCEPTIONS = ("trash can", "trash bag", "class clown", "clown fish", "sore loser", "pond scum", "worthless stock")
 
-_PLAIN = str.maketrans({**LOOK_ALIKES, **{chr(0xFF41 + i): chr(97 + i) for i in range(26)}})
-_INSIDE = re.compile(r"[0134557@$!|]+")
+_PLAIN = str.maketrans({**LOOK_ALIKES, **SMALL, **{chr(0xFF41 + i): chr(97 + i) for i in range(26)}})
+_INSIDE = re.compile(r"[0134578@$!|]+")
+_DOUBTFUL = re.compile(r"[1!|]")
 _TOKEN = re.compile(r"[^\W_]+")
 _MIXED = re.compile(r"[^\W\d_][\w@$!|]*[0134578@$!|][\w@$!|]*[^\W\d_]|[0-9@$!|]+[^\W\d_][\w@$!|]*[^\W\d_]|[^\W\d_]{2,}[0-9@$|]+(?=\s|$)")
-_SIGNS = str.maketrans(STAND_INS)
+_SIGNS = (str.maketrans(STAND_INS), str.maketrans(STAND_INS | SECOND))
 
 
-def fold(text: str) -> str:
-    """Lower case, look-alikes to Latin, stand-in signs to letters inside words; the length stays."""
+def fold(text: str, second: bool = False) -> str:
+    """Lower case, look-alikes to Latin, stand-in signs to letters inside words (or to their second letters); the length stays."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if not low.isascii():
         low = low.translate(_PLAIN)
     if _INSIDE.search(low):
-        low = _MIXED.sub(lambda m: m[0].translate(_SIGNS), low)
+        low = _MIXED.sub(lambda m: m[0].translate(_SIGNS[second]), low)
     return low
 
 
@@ -82,20 +88,26 @@ class Lexicon:
 
 
 def spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the hits: the heaviest of those that begin at a word's start."""
-    low = fold(text)
+    """(start, end, weight) of the hits: the heaviest of those that begin at a word's start.
+
+    A text with signs that stand for two letters is read once with each.
+    """
+    lows = [fold(text)]
+    if _DOUBTFUL.search(text) and (other := fold(text, True)) != lows[0]:
+        lows.append(other)
     best: dict[int, tuple[int, float]] = {}
     spared: list[tuple[int, int]] = []
-    for end, (n, begin_w, whole_w, harmless) in automaton.iter(low) if len(automaton) else ():
-        s, e = end - n + 1, end + 1
-        if s and low[s - 1].isalnum():
-            continue
-        closed = e == len(low) or not low[e].isalnum()
-        if harmless and closed:
-            spared.append((s, e))
-        w = max((x for x in (begin_w, whole_w if closed else None) if x is not None), default=None)
-        if w is not None and w > best.get(s, (0, 0.0))[1]:
-            best[s] = (e, w)
+    for low in lows if len(automaton) else ():
+        for end, (n, begin_w, whole_w, harmless) in automaton.iter(low):
+            s, e = end - n + 1, end + 1
+            if s and low[s - 1].isalnum():
+                continue
+            closed = e == len(low) or not low[e].isalnum()
+            if harmless and closed:
+                spared.append((s, e))
+            w = max((x for x in (begin_w, whole_w if closed else None) if x is not None), default=None)
+            if w is not None and w > best.get(s, (0, 0.0))[1]:
+                best[s] = (e, w)
     return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s < b for a, b in spared)]
 
 
@@ -133,7 +145,7 @@ def entries_of(text: str, shortest: int = 4, longest: int = 8) -> set[tuple[str,
     out: set = set()
     for w in set(_TOKEN.findall(fold(text))):
         if len(w) >= 3:
-            out.add((w[:24], True))
+            out.add((w, True))
         out.update((w[:n], False) for n in range(shortest, min(len(w), longest) + 1))
     return out
 
@@ -161,7 +173,7 @@ def count_entries(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     return part.groupBy("entry", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, max_entries: int = 400, least_odds: float = 3.0, share: float = 0.012, least_sure: float = 12.0) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, least_odds: float = 3.0, least: int = 4, least_sure: float = 12.0) -> Lexicon:
     """Lexicon from labelled rows (k, t) and (k, y)."""
     ranked = [labels.where(F.col("y") == v).orderBy(F.xxhash64("k", F.lit("toxicity"))).limit(max_labelled) for v in (1, 0)]
     sample = stored(docs.join(ranked[0].union(ranked[1]), "k").dropDuplicates(["t"]), "labelled")
@@ -169,19 +181,26 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000,
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if pos < 5 or neg < 5:
         return Lexicon()
-    least = max(4, math.ceil(share * pos))
     odds = F.log((F.col("toxic") + 0.5) / (pos + 1.0)) - F.log((F.col("clean") + 0.5) / (neg + 1.0))
     # Entries by chance: their share of toxic texts must differ from the sample's by ``least_sure`` nats.
     rate, seen = pos / (pos + neg), F.col("toxic") + F.col("clean")
     sure = F.col("toxic") * F.log(F.col("toxic") / seen / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / seen / (1 - rate))).otherwise(0.0)
     rows = count_entries(sample).where(F.col("toxic") >= least).withColumn("w", odds).where((F.col("w") >= least_odds) & (sure >= least_sure))
-    rows = rows.orderBy(F.desc("toxic"), F.length("entry"), "entry", "whole").limit(max_entries * 10).collect()
+    rows = sorted(rows.collect(), key=lambda r: (len(r["entry"]), r["whole"], r["entry"]))  # their number is bounded by the sample's
+    # A beginning goes if a longer entry, or the whole word, is in as many toxic texts.
+    most: dict = {}
+    for r in rows:
+        e = r["entry"]
+        for n in range(1, len(e) + r["whole"]):
+            most[e[:n]] = max(most.get(e[:n], 0), r["toxic"])
     entries: dict = {}
     # A longer entry is kept only if it says clearly more than a shorter one that begins it.
-    for r in sorted(rows, key=lambda r: (len(r["entry"]), r["whole"], r["entry"])):
+    for r in rows:
         e = r["entry"]
+        if not r["whole"] and most.get(e, 0) >= r["toxic"]:
+            continue
         shorter = max((entries.get((e[:n], False), -9.0) for n in range(1, len(e) + r["whole"])), default=-9.0)
-        if r["w"] > shorter + 0.7 and len(entries) < max_entries:
+        if r["w"] > shorter + 0.7:
             entries[(e, r["whole"])] = float(r["w"])
     if not entries:
         return Lexicon()
@@ -210,6 +229,7 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 3 == 1
 
 
+@tidy
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7, **limits) -> DataFrame:
     """doc_id, held_out, score, predicted, n_hits of every row; held-out labels are never read."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))

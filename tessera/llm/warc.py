@@ -5,7 +5,7 @@ separator, so tasks commit whole gzip files through Hadoop's committers and any
 works.  Pages with equal payloads of ``least`` bytes or more share one response, that of the
 smallest page id; the others are revisits that carry no payload.
 
-Reading.  Files are read split by the magic line, so each piece is a *candidate* record at a
+Reading.  Files of version 1.0 or 1.1 are read split by the magic word, so each piece is a *candidate* record at a
 known offset.  A candidate's header gives the offset of its successor; which candidates are
 records is decided by pointer jumping from each file's start: after k rounds all records
 within 2^k steps are known and pointers span 2^k records.  Magic lines inside payloads are
@@ -27,10 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import new_path, stored, table
+from ._util import new_path, stored, table, tidy
 
 # Fixed values of the file format: magic line, separators, base32 alphabet.
-MAGIC = "WARC/1.1\r\n"
+MAGIC = "WARC/1."
+VERSION = "1\r\n"
 GAP = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -67,7 +68,7 @@ def records(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     block = F.when(again, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("html")))
     head = F.concat(
-        F.lit(MAGIC + "WARC-Type: "), F.when(again, "revisit").otherwise("response"),
+        F.lit(MAGIC + VERSION + "WARC-Type: "), F.when(again, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("id")),
         F.lit("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[^\x21-\x7E]", ""),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("digest")),
@@ -104,7 +105,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.select(F.xxhash64(name).alias("fid"), name.alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
     end = F.locate(GAP, F.col("value"))
     raw = raw.withColumn("head", F.when(end > 0, F.substring(F.col("value"), F.lit(1), end - 1)).otherwise(F.lit("")))
-    length = F.expr("try_cast(regexp_extract(head, '(?i)(?:^|\\\\n)Content-Length: *(\\\\d{1,18})', 1) AS BIGINT)")
+    length = F.when(F.col("head").rlike(r"^[01]\r\n"), F.regexp_extract("head", r"(?i)(?:^|\n)Content-Length: *(\d{1,18})", 1).try_cast("long"))
     return raw.withColumn("skip", F.octet_length("head") + 4).withColumn("clen", length)
 
 
@@ -166,6 +167,7 @@ def _page_columns(head: Column, block: Column) -> list[Column]:
     ]
 
 
+@tidy
 def page_records(spark: SparkSession, path: str) -> DataFrame:
     """One row a record: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri.
 
@@ -177,6 +179,7 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     return r.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "target_uri").union(again)
 
 
+@tidy
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)

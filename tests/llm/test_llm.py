@@ -153,6 +153,37 @@ def test_sharding_law_and_slots(spark, docs):
     assert all(r.size == 8 and r.text_crc32 == 0 for r in rows if r.doc_id in (24, 25))
 
 
+def test_descent_recomputed(spark):
+    """The tree's draws with another implementation of the hash."""
+    import math
+
+    import xxhash
+
+    tree = sharding.topology()
+
+    def draw(key, path, weight):
+        h = xxhash.xxh64_intdigest(path.encode(), seed=xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42))
+        return -math.log(((h >> 11) + 0.5) * 2.0**-53) / weight
+
+    def descend(key, leaves):
+        for level in (lambda x: f"/{x.region}", lambda x: f"/{x.region}/{x.rack}", lambda x: f"/{x.region}/{x.rack}/{x.shard}"):
+            weight = {}
+            for x in leaves:
+                weight[level(x)] = weight.get(level(x), 0) + x.weight
+            best = min(weight, key=lambda p: draw(key, p, weight[p]))
+            leaves = [x for x in leaves if level(x) == best]
+        return leaves[0].shard
+
+    got = spark.range(300).select("id", sharding.shard_of(F.col("id"), tree).alias("s"), sharding.shard_of(F.col("id"), sharding.grow(tree)).alias("g")).collect()
+    assert all((r.s, r.g) == (descend(r.id, tree), descend(r.id, sharding.grow(tree))) for r in got)
+
+
+def test_many_copies_of_one_row_have_slots(spark):
+    d = spark.range(1200).select(F.lit(7).cast("long").alias("doc_id"), F.lit("t").alias("text"), F.lit(0).alias("shard"))
+    rows = sharding.with_slots(d, chunk=100).collect()
+    assert sorted(r.slot for r in rows) == list(range(1200))
+
+
 def test_weight_changes_move_rows_only_where_weights_changed(spark):
     tree = sharding.topology()
     heavier = tuple(sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in tree)
@@ -243,6 +274,21 @@ def test_warc_round_trip_with_magic_inside_payloads(spark, tmp_path):
         assert got == sorted(want, key=str)
 
 
+def test_warc_of_the_older_version(spark, tmp_path):
+    p = spark.createDataFrame([(i, "u", f"page {i} WARC/1.0 WARC/1.1\r\n") for i in range(5)], "page_id long, url string, html string")
+    rows = warc.records(p).collect()
+    with open(tmp_path / "old.warc", "wb") as f:
+        for r in rows:
+            f.write(r.value.replace("WARC/1.1", "WARC/1.0", 1).encode() + b"\r\n\r\n")
+    got = {r.page_id: r.payload_bytes for r in warc.page_records(spark, str(tmp_path / "old.warc")).collect()}
+    assert got == {i: len(f"page {i} WARC/1.0 WARC/1.1\r\n") for i in range(5)}
+
+
+def test_warc_empty(spark, empty, tmp_path):
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
+    assert warc.page_records(spark, str(tmp_path / "none")).count() == 0
+
+
 # --- toxicity, quality, language, secrets, mixing ------------------------------------
 
 
@@ -253,6 +299,21 @@ def test_folding_spans_and_exceptions():
     assert toxicity.measures(None, auto) == (0.0, 0, 0) and toxicity.measures("", auto) == (0.0, 0, 0)
 
 
+def test_signs_for_two_letters():
+    auto = toxicity.Lexicon().automaton()
+    for w in ("1oser", "c1own", "w0rth1ess", "idıot", "sᴄum", "m0r0n", "stup!d"):
+        assert [(s, e) for s, e, _ in toxicity.spans(f"a {w}, b!", auto)] == [(2, 2 + len(w))], w
+    assert toxicity.spans("8 items! 1 of 10|20", auto) == []
+
+
+def test_lexicon_keeps_whole_words(spark):
+    rng = np.random.default_rng(8)
+    rows = [(100 + i, words(rng, 40) + (" pathetically" if i % 4 == 0 else " pathway"), int(i % 4 == 0)) for i in range(400)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "k long, t string")
+    lex = toxicity.learn_lexicon(d, spark.createDataFrame([(i, y) for i, _, y in rows], "k long, y int"))
+    assert set(lex.entries) == {("pathetically", True)}
+
+
 def test_toxicity_learns_from_training_rows_only(spark, docs, empty):
     rng = np.random.default_rng(8)
     rows = [(100 + i, words(rng, 40) + (" blargh" + "xyz"[i % 3] + " blargho" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
@@ -326,6 +387,12 @@ def test_short_texts_with_a_letter_are_not_letterless(spark):
     assert all(got[104 + i].language is None and not got[104 + i].accepted for i in range(len(none)))
 
 
+def test_many_candidates_keep_their_places(spark):
+    text = " ".join(f"x token=aB3dE5fG{i:04d} y" for i in range(700))
+    got = {r.start: r.value for r in secrets.candidates(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).collect()}
+    assert len(got) == 700 and all(text[s : s + len(v)] == v for s, v in got.items())
+
+
 def test_secret_forest_on_held_out_findings(spark, docs, empty):
     model = secrets.train(secrets.built_in_findings(spark))
     test = secrets.built_in_findings(spark, 600, seed=99)
