@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._util import stored, table
+from tessera.llm._util import stored, table, tidy
 from tessera.llm.decontam import decontaminate
 from tessera.llm.langid import identify_documents
 from tessera.llm.mixing import sampled
@@ -81,10 +81,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, "stage-" + name.replace(" ", "-"))
+        step = stage if i + 1 == len(STAGES) else lambda *a, stage=stage, name=name: stored(stage(*a), "stage-" + name.replace(" ", "-"))
+        docs = tidy(step)(spark, docs, sf_dir)
     return docs
