@@ -88,20 +88,28 @@ def mean_variance(mu: np.ndarray, cov: np.ndarray, cap: float = CAP, delta: floa
     return w / w.sum() if w.sum() > 0 else equal(n)
 
 
-def risk_parity(cov: np.ndarray, tol: float = 1e-10, sweeps: int = 500) -> np.ndarray:
-    """Equal risk contributions: each weight solves its quadratic in turn."""
+def risk_parity(cov: np.ndarray, tol: float = 1e-10, steps: int = 500) -> np.ndarray:
+    """Equal risk contributions: the minimum of x'Rx / 2 - mean(ln x), R the correlations, by damped Newton steps.
+
+    At the minimum every x_i (Rx)_i is 1/n; the weights are x over the deviations.
+    """
     n = len(cov)
     if not np.isfinite(cov).all() or (np.diag(cov) <= 0).any():
         return equal(n)
-    w = 1 / np.sqrt(np.diag(cov))
-    w /= w.sum()
-    for _ in range(sweeps):
-        before = w.copy()
-        for i in range(n):
-            b = cov[i] @ w - cov[i, i] * w[i]
-            w[i] = (-b + np.sqrt(b * b + 4 * cov[i, i] / n)) / (2 * cov[i, i])
-        if np.abs(w - before).max() < tol:
+    sd = np.sqrt(np.diag(cov))
+    r = cov / np.outer(sd, sd)
+    goal = lambda x: x @ r @ x / 2 - np.log(x).mean()
+    x = np.full(n, 1 / np.sqrt(max(r.sum(), LEAST)))
+    for _ in range(steps):
+        slope = r @ x - 1 / (n * x)
+        if np.abs(x * slope).max() < tol:
             break
+        way = _solve(r + np.diag(1 / (n * x * x)), -slope)
+        size = min(1.0, 0.9 * float((-x[way < 0] / way[way < 0]).min(initial=np.inf)))
+        while goal(x + size * way) > goal(x) + 1e-4 * size * (slope @ way) and size > 1e-12:
+            size /= 2
+        x = x + size * way
+    w = x / sd
     return w / w.sum()
 
 
@@ -126,34 +134,61 @@ def single_linkage_order(dist: np.ndarray) -> list[int]:
     return owner[0][1]
 
 
-def hierarchical_risk_parity(cov: np.ndarray) -> np.ndarray:
+def linkage_order(dist: np.ndarray, kind: str = "single") -> list[int]:
+    """Leaves in the order of the tree that joins the nearest clusters first, older cluster first.
+
+    ``kind`` is the distance of clusters: single (least), complete (largest) or average.
+    """
+    if kind == "single":
+        return single_linkage_order(dist)
+    if kind not in ("complete", "average"):
+        raise ValueError(f"unknown linkage {kind}")
+    d = dist.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    leaves, made = {i: [i] for i in range(len(d))}, list(range(len(d)))
+    for new in range(len(d), 2 * len(d) - 1):
+        i, j = sorted(np.unravel_index(np.argmin(d), d.shape), key=lambda k: made[k])
+        a, b = len(leaves[i]), len(leaves[j])
+        both = np.maximum(d[i], d[j]) if kind == "complete" else (a * d[i] + b * d[j]) / (a + b)
+        leaves[i], made[i] = leaves[i] + leaves.pop(j), new
+        d[i], d[:, i] = both, both
+        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+    return next(iter(leaves.values()))
+
+
+def hierarchical_risk_parity(cov: np.ndarray, linkage: str = "single") -> np.ndarray:
+    """Weights halved down the leaf order, each half against its variance.
+
+    The variance of a run of leaves under inverse-variance weights is a block of one matrix
+    over a squared sum, so running sums give it for every run.
+    """
     n = len(cov)
     if n <= 2:
         return risk_parity(cov) if n else np.zeros(0)
-    if not np.isfinite(cov).all() or (np.diag(cov) <= 0).any():
+    var = np.diag(cov)
+    if not np.isfinite(cov).all() or (var <= 0).any():
         return equal(n)
-    sd = np.sqrt(np.diag(cov))
-    dist = np.sqrt(np.clip((1 - np.clip(cov / np.outer(sd, sd), -1, 1)) / 2, 0, None))
-    np.fill_diagonal(dist, 0)
-    w = np.ones(n)
-
-    def variance(items: list[int]) -> float:
-        inv = 1 / np.clip(np.diag(cov)[items], 1e-16, None)
-        inv /= inv.sum()
-        return float(inv @ cov[np.ix_(items, items)] @ inv)
-
-    def share(items: list[int]) -> None:
-        if len(items) < 2:
-            return
-        left, right = items[: len(items) // 2], items[len(items) // 2 :]
-        a, b = variance(left), variance(right)
-        part = b / (a + b) if a + b > 0 else 0.5
-        w[left] *= part
-        w[right] *= 1 - part
-        share(left), share(right)
-
-    share(single_linkage_order(dist))
-    return w / w.sum()
+    corr = np.clip(cov / np.sqrt(np.outer(var, var)), -1, 1)
+    order = np.array(linkage_order(np.sqrt((1 - corr) / 2) * (1 - np.eye(n)), linkage))
+    u = 1 / np.maximum(var[order], 1e-16)
+    area = np.zeros((n + 1, n + 1))
+    area[1:, 1:] = (np.outer(u, u) * cov[np.ix_(order, order)]).cumsum(0).cumsum(1)
+    line = np.concatenate([[0.0], u.cumsum()])
+    spread = lambda a, b: (area[b, b] - area[a, b] - area[b, a] + area[a, a]) / (line[b] - line[a]) ** 2
+    scale, open_ = np.ones(n), [(0, n)]
+    while open_:
+        a, b = open_.pop()
+        m = a + (b - a) // 2
+        if m == a:
+            continue
+        left, right = spread(a, m), spread(m, b)
+        keep = right / (left + right) if left + right > 0 else 0.5
+        scale[a:m] *= keep
+        scale[m:b] *= 1 - keep
+        open_ += [(a, m), (m, b)]
+    w = np.empty(n)
+    w[order] = scale / scale.sum()
+    return w
 
 
 #: Strategy name -> weights from (mean, covariance) of simple returns.

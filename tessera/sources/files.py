@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -191,3 +192,22 @@ def checked_range(start: str, end: str, symbols: list[str]) -> list[str]:
     if not names:
         raise ValueError("no symbol is given")
     return names
+
+
+def listed(value: str | None, default: list[str] = ()) -> list[str]:
+    """A setting that is a JSON array or a comma list; the default where it is blank."""
+    text = (value or "").strip()
+    if not text:
+        return list(default)
+    items = json.loads(text) if text.startswith("[") else text.split(",")
+    return [str(x).strip() for x in items if str(x).strip()]
+
+
+def checked_reply(body: str, required: tuple[str, ...]) -> dict:
+    """A provider's JSON reply; an error names the fields that it should have and hasn't."""
+    got = json.loads(body)
+    if not isinstance(got, dict):
+        raise ValueError("the reply is not an object")
+    if lacking := [k for k in required if k not in got]:
+        raise ValueError(f"the reply lacks {', '.join(lacking)}")
+    return got

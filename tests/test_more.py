@@ -195,6 +195,10 @@ def test_caches_and_old_forecasts(spark, tmp_path):
     assert files.checked_range("2024-01-01", "2024-02-01", [" a", "A", "b"]) == ["A", "B"]
     with pytest.raises(ValueError, match="before"):
         files.checked_range("2024-02-01", "2024-02-01", ["A"])
+    assert files.listed('["a", " b"]') == files.listed("a, b,") == ["a", "b"] and files.listed(" ", ["z"]) == ["z"]
+    assert files.checked_reply('{"c": [1], "t": [2]}', ("c", "t")) == {"c": [1], "t": [2]}
+    with pytest.raises(ValueError, match="lacks t"):
+        files.checked_reply('{"c": []}', ("c", "t"))
     (tmp_path / "DGS10.csv").write_text("DATE,VALUE\n2024-01-02,.\n2024-01-03,4.5\n")
     assert [tuple(r) for r in files.series_csv(spark, str(tmp_path / "DGS10.csv")).collect()] == [("DGS10", date(2024, 1, 3), 4.5)]
 

@@ -146,6 +146,22 @@ def test_allocators():
     assert allocation.tilt_weights(np.array([-1.0, -1.0]), np.eye(2)).sum() == pytest.approx(1)
 
 
+def test_hierarchical_weights_by_hand():
+    cov = np.array([[1.0, 0.9, 0.0], [0.9, 1.0, 0.0], [0.0, 0.0, 4.0]])
+    for kind in ("single", "complete", "average"):
+        assert allocation.linkage_order(np.sqrt((1 - cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))) / 2), kind)[-2:] in ([0, 1], [1, 0])
+    # leaves 2, 0, 1: first the lone asset (variance 4) against the pair (0.95), then the pair in equal parts
+    assert allocation.hierarchical_risk_parity(cov) == pytest.approx([2 / 4.95, 2 / 4.95, 0.95 / 4.95])
+    rng = np.random.default_rng(4)
+    a = np.cov(rng.normal(size=(12, 60)))
+    for kind in ("single", "complete", "average"):
+        order = allocation.linkage_order(np.sqrt(np.clip(1 - np.corrcoef(a), 0, None) / 2), kind)
+        assert sorted(order) == list(range(12))
+        assert allocation.hierarchical_risk_parity(a, kind).sum() == pytest.approx(1)
+    with pytest.raises(ValueError, match="linkage"):
+        allocation.linkage_order(a, "ward")
+
+
 def test_backtest_fold_equals_closed_form(spark):
     p = panel(spark, 21).select("asset", F.datediff("date", F.lit(date(2024, 1, 1))).alias("t"), F.col("close").alias("price"))
     seg = {r.t0: r for r in backtest.equal_weight_segments(p, 5).collect()}
