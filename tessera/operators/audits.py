@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,3 +171,96 @@ def normal_cdf(z: Column, terms: int = 60) -> Column:
         tail = a + F.lit(float(k)) / tail
     upper = F.when(a <= 3, 1 - inner).otherwise(density / tail)
     return F.when(z >= 0, 1 - upper).otherwise(upper)
+
+
+# --- laws fitted to a sample ---------------------------------------------------------------
+
+
+def binned(rows: DataFrame, x: str, width: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Middles and counts of the bins of ``width`` that hold a value; their number is bounded by the sample's range."""
+    got = rows.where(F.col(x).isNotNull()).groupBy(F.floor(F.col(x) / width).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()
+    return (np.array([r["b"] for r in got], float) + 0.5) * width, np.array([r["n"] for r in got], float)
+
+
+def student_cdf(z: np.ndarray, df: float, grid: int = 4001) -> np.ndarray:
+    """Student's distribution function: z = sqrt(df) tan(a) turns it into an integral of cos(a) ** (df - 1)."""
+    a = np.linspace(-math.pi / 2, math.pi / 2, grid)
+    f = np.cos(a) ** (df - 1) if df > 1 else np.cos(np.clip(a, a[1] / 2, a[-2] / 2)) ** (df - 1)
+    area = np.concatenate([[0.0], np.cumsum((f[1:] + f[:-1]) / 2)])
+    return np.interp(np.arctan(np.asarray(z, float) / math.sqrt(df)), a, area / area[-1])
+
+
+def fitted_normal(x: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    m = float(np.average(x, weights=n))
+    return math.inf, m, float(np.sqrt(np.average((x - m) ** 2, weights=n)))
+
+
+def fitted_student(x: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
+    """Degrees of freedom, location, scale of the largest likelihood: a golden-section search over the first, weighted means for the others."""
+    total = n.sum()
+
+    def at(df: float) -> tuple[float, float, float]:
+        m, v = float(np.average(x, weights=n)), float(np.average((x - np.average(x, weights=n)) ** 2, weights=n))
+        for _ in range(rounds):
+            w = n * (df + 1) / (df + (x - m) ** 2 / v)
+            m, before = float((w * x).sum() / w.sum()), v
+            v = float((w * (x - m) ** 2).sum() / total)
+            if abs(v - before) < 1e-10 * v:
+                break
+        like = total * (math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi * v)) - (n * (df + 1) / 2 * np.log1p((x - m) ** 2 / (df * v))).sum()
+        return float(like), m, math.sqrt(v)
+
+    lo, hi, g = math.log(0.5), math.log(500.0), (math.sqrt(5) - 1) / 2
+    p, q = hi - g * (hi - lo), lo + g * (hi - lo)
+    fp, fq = at(math.exp(p))[0], at(math.exp(q))[0]
+    for _ in range(40):
+        if fp > fq:
+            hi, q, fq = q, p, fp
+            p = hi - g * (hi - lo)
+            fp = at(math.exp(p))[0]
+        else:
+            lo, p, fp = p, q, fq
+            q = lo + g * (hi - lo)
+            fq = at(math.exp(q))[0]
+    df = math.exp((lo + hi) / 2)
+    return df, *at(df)[1:]
+
+
+def _cdf(law: tuple[float, float, float], x: np.ndarray) -> np.ndarray:
+    df, m, s = law
+    z = (x - m) / s
+    return np.array([NormalDist().cdf(v) for v in z]) if math.isinf(df) else student_cdf(z, df)
+
+
+def _distance(law: tuple[float, float, float], x: np.ndarray, n: np.ndarray, width: float) -> float:
+    """The largest distance between law and sample at the bins' edges."""
+    up = np.cumsum(n) / n.sum()
+    return float(max(np.abs(up - _cdf(law, x + width / 2)).max(), np.abs(up - n / n.sum() - _cdf(law, x - width / 2)).max()))
+
+
+def law_fits(rows: DataFrame, x: str, width: float = 0.01, draws: int = 0, seed: int = 0) -> DataFrame:
+    """distribution, n, loc, scale, degrees_of_freedom, ks, p_value of a normal and a Student law, by largest likelihood.
+
+    The sample is counted in bins first, so what is fitted on the driver is bounded by its range
+    and not by its size.  ``p_value`` is from ``draws`` samples of the fitted law that are fitted
+    anew, as parameters that were fitted make the distance smaller.
+    """
+    spark, rng = rows.sparkSession, np.random.default_rng(seed)
+    mid, n = binned(rows, x, width)
+    out = []
+    for name, fit in (("normal", fitted_normal), ("student_t", fitted_student)) if len(mid) > 1 else ():
+        law = fit(mid, n)
+        ks, p = _distance(law, mid, n, width), None
+        if draws:
+            half = max(abs(mid[0]), abs(mid[-1])) + 20 * law[2]
+            edges = np.arange(-half, half + width, width)
+            mass = np.diff(_cdf(law, edges))
+            worse = 0
+            for _ in range(draws):
+                k = rng.multinomial(int(n.sum()), mass / mass.sum()).astype(float)
+                at = np.flatnonzero(k)
+                xs, ns = (edges[:-1] + width / 2)[at], k[at]
+                worse += _distance(fit(xs, ns), xs, ns, width) >= ks
+            p = (1 + worse) / (draws + 1)
+        out.append((name, int(n.sum()), law[1], law[2], None if math.isinf(law[0]) else law[0], ks, p))
+    return spark.createDataFrame(out, "distribution string, n long, loc double, scale double, degrees_of_freedom double, ks double, p_value double")

@@ -243,6 +243,11 @@ def normal_fit(spark, d):
     return _round(audits.normal_distance(_pooled(spark, d), "z"), 6)
 
 
+def law_fits(spark, d):
+    """Normal and Student laws of the pooled standardised returns (no SQL form: largest likelihood)."""
+    return _round(audits.law_fits(_pooled(spark, d), "z"), 4)
+
+
 # --- universe ------------------------------------------------------------------------------
 
 
@@ -570,7 +575,7 @@ def long_indicators(spark, d):
 OWN = (
     name_fallback, article_ids, canonical_symbols, scored_text, probability_cleanup, label_aliases, masked_articles, text_scores_once, first_seen_texts, iso_times, number_coercion, text_enrichment, token_report,
     story_features, forecast_errors, information_coefficient, interval_coverage, forecast_likelihood, moment_stats, lognormal_covariance, total_covariance, low_rank_covariance, batch_diagnostics,
-    gap_by_ticker, gap_by_group, gap_summary, causality_audit, same_sign_alerts, sanity_sentences, normality, quantile_quantile, normal_fit,
+    gap_by_ticker, gap_by_group, gap_summary, causality_audit, same_sign_alerts, sanity_sentences, normality, quantile_quantile, normal_fit, law_fits,
     universe_resolved, universe_override, missing_indicators, shared_assets, filter_candidates, label_coverage, mask_coverage, signal_vectors, lookback_windows, train_days, subsample, assembled_panel,
     experiment_leaves, grid_metrics, equal_weight_metrics, equal_weight_curve, blended_curve, backends_joined, merged_aggregates, parameter_sweeps, best_at_sweep, summary_table, model_pivot, holding_pivot, reference_cell,
     backend_agreement, class_ecdf, asset_summary, stacked_sources, paper_cycle, paper_exits, paper_positions, paper_learning, learning_totals, mark_to_market,

@@ -140,6 +140,18 @@ def test_normal_law_and_quantiles(spark):
     assert [r[0] for r in words.collect()] == ["approximately normal", "right-skewed", "left-skewed, heavy-tailed", "light-tailed"]
 
 
+def test_laws_are_recovered(spark):
+    rng = np.random.default_rng(5)
+    assert audits.student_cdf(np.array([-2.0, 0.0, 1.0, 6.0]), 1.0) == pytest.approx(0.5 + np.arctan([-2.0, 0.0, 1.0, 6.0]) / math.pi, abs=1e-3)
+    assert audits.student_cdf(np.array([-1.5, 2.5]), 200.0) == pytest.approx([NormalDist().cdf(-1.5), NormalDist().cdf(2.5)], abs=2e-3)
+    x = 0.3 + 2.0 * rng.standard_t(4, size=6000)
+    got = {r.distribution: r for r in audits.law_fits(spark.createDataFrame([(float(v),) for v in x], "x double"), "x", 0.02, draws=19).collect()}
+    t, g = got["student_t"], got["normal"]
+    assert abs(t.degrees_of_freedom - 4) < 0.8 and abs(t.loc - 0.3) < 0.1 and abs(t.scale - 2) < 0.1 and t.p_value > 0.05
+    assert g.scale == pytest.approx(x.std(), rel=0.01) and g.p_value == 0.05 and g.ks > t.ks
+    assert audits.law_fits(spark.createDataFrame([], "x double"), "x").count() == 0
+
+
 def test_audits_raise(spark):
     good = spark.createDataFrame([("up", "pos", 0.8, 0.1, 0.1)], "text string, expect string, p_pos double, p_neg double, p_neu double")
     audits.require_sane(good)
