@@ -51,8 +51,8 @@ def ewm(x: Column, span: int, n: Column, key: str = KEY, time: str = TIME) -> Co
     """Exponentially weighted mean, seeded with the first value, null before ``span`` values.
 
     ``n`` counts the values so far (1 at the first).  The closed form sums x_i w_i / (1-a)^(i-1)
-    and is exact as long as (1-a)^n is a normal double: about 7,000 rows at span 20; use
-    :func:`ewm_long` beyond.
+    and is exact as long as (1-a)^-n is a finite double: about 5,300 rows at span 15, 7,000 at
+    span 20; use :func:`ewm_long` beyond.
     """
     a = 2.0 / (span + 1)
     win = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)

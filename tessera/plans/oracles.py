@@ -88,6 +88,10 @@ ORACLES: dict[str, str] = {
     "daily_features": f"WITH {BARS_SQL}, {FEATURES} SELECT asset, date, {_ROUNDED('ret_close ret_oc ret_overnight ret_adj hl_range vol_change mom_5 mom_20 roll_vol roll_mean_ret rel_volume rsi atr z_ret z_volume ma_ratio', 6)}, round(amihud, 12) AS amihud FROM features",
     "rolling_ols": f"WITH {BARS_SQL}, {RET}, {MARKET}, {OLS} SELECT asset, date, {_ROUNDED('beta alpha resid resid_r2', 5)} FROM olsn",
     "ewm_macd": f"WITH {BARS_SQL}, lp AS (SELECT asset, date, ln(adj_close) AS path FROM bars), {_macd('lp')} SELECT asset, date, {_ROUNDED('macd macd_signal hist', 6)} FROM macd",
+    "ewm_long_series": f"""WITH RECURSIVE {NEWS_SQL}, s AS (SELECT article_id AS date, raw_score + article_id % 7 AS x, row_number() OVER (ORDER BY article_id) AS n FROM news),
+      f AS (SELECT n, date, x AS a, x AS b, 0.0::DOUBLE AS g FROM s WHERE n = 1 UNION ALL
+        SELECT s.n, s.date, f.a + (s.x - f.a) * 2 / 21.0::DOUBLE, f.b + (s.x - f.b) * 2 / 51.0::DOUBLE, CASE WHEN s.n <= 50 THEN (f.a + (s.x - f.a) * 2 / 21.0::DOUBLE) - (f.b + (s.x - f.b) * 2 / 51.0::DOUBLE) ELSE f.g + ((f.a + (s.x - f.a) * 2 / 21.0::DOUBLE) - (f.b + (s.x - f.b) * 2 / 51.0::DOUBLE) - f.g) * 2 / 16.0::DOUBLE END FROM f JOIN s ON s.n = f.n + 1)
+      SELECT date, CASE WHEN n >= 50 THEN round(a - b, 7) END AS macd, CASE WHEN n >= 64 THEN round(g, 7) END AS macd_signal, CASE WHEN n >= 64 THEN round(a - b - g, 7) END AS hist FROM f""",
     "imacd": f"WITH {BARS_SQL}, {RET}, {MARKET}, {IMACD} SELECT asset, date, {_ROUNDED('imacd resid_r2', 4)} FROM im",
     "alpha_filter": f"""WITH {BARS_SQL}, {RET}, {MARKET}, {IMACD}, a0 AS (SELECT asset, date, round(imacd, 4) AS i, CASE WHEN round(imacd, 4) IS NULL OR round(resid_r2, 4) IS NULL OR round(resid_r2, 4) > 0.6 THEN 0 ELSE {_DIR('round(imacd, 4)', 0.5)} END AS d FROM im),
       a1 AS (SELECT *, CASE WHEN count(d) OVER {_w(3)} = 3 AND abs(sum(d) OVER {_w(3)}) >= 3 THEN d ELSE 0 END AS g FROM a0) SELECT asset, date, coalesce(abs(i), 0) AS strength, CASE WHEN g > 0 THEN 'BUY' WHEN g < 0 THEN 'SELL' ELSE 'HOLD' END AS signal FROM a1""",

@@ -34,6 +34,12 @@ def ewm_macd(spark, d):
     return _rounded(technical.macd(p, 20, 50, 15).select("asset", "date", "macd", "macd_signal", "hist"))
 
 
+def ewm_long_series(spark, d):
+    """All scored news as one long series."""
+    n = panels.news(spark, d).select(F.lit("all").alias("asset"), F.col("article_id").alias("date"), (F.col("raw_score") + F.col("article_id") % 7).alias("path"))
+    return _rounded(technical.macd(n, 20, 50, 15).select("date", "macd", "macd_signal", "hist"), 7)
+
+
 def imacd(spark, d):
     return _rounded(technical.imacd(panels.bars(spark, d)), 4)
 
@@ -289,7 +295,7 @@ def chunk_reduce(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (naive_buy_and_hold, naive_index, return_distribution, text_chunks, chunk_reduce, daily_features, rolling_ols, ewm_macd, imacd, alpha_filter, alpha_filter_cross_sectional, signal_hold, persistence_gate, rolling_beta, conditional_beta, forward_return, splits_purged,
+    own = (naive_buy_and_hold, naive_index, return_distribution, text_chunks, chunk_reduce, daily_features, rolling_ols, ewm_macd, ewm_long_series, imacd, alpha_filter, alpha_filter_cross_sectional, signal_hold, persistence_gate, rolling_beta, conditional_beta, forward_return, splits_purged,
            standardized_panel, macro_daily, asof_ffill, macro_channel, news_ingest_explode, news_ingest_whole, session_snap, news_window_features, trailing_median, entity_prior, neutralize, cosine_edges, story_components,
            story_representatives, equal_weight_backtest, cost_models, walk_forward, portfolio_metrics, covariance_forecast, lognormal_moments, allocations, strategies_backtest, strategy_metrics, exposure, mask_renormalized, event_windows, rolling_quantile_bars)
     from .more import OWN
