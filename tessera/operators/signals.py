@@ -106,9 +106,8 @@ def splits(rows: DataFrame, lookback: int, horizon: int, embargo: int, train: fl
     """t, date, split of decision days that survive lookback, purge and embargo; rows are distinct dates."""
     w = Window.orderBy("date")
     d = rows.select("date").distinct().withColumn("t", F.row_number().over(w) - 1)
-    n = d.where(F.col("date") < test_from).count()
-    cut = round(n * train)
-    d = d.withColumn("label", F.when(F.col("date") >= test_from, "test").when(F.col("t") < cut, "train").otherwise("val"))
+    cut = F.bround(F.count_if(F.col("date") < test_from).over(Window.partitionBy()) * F.lit(train))
+    d = d.withColumn("cut", cut).withColumn("label", F.when(F.col("date") >= test_from, "test").when(F.col("t") < F.col("cut"), "train").otherwise("val")).drop("cut")
     ahead = w.rowsBetween(0, horizon)
     pure = (F.min("label").over(ahead) == F.max("label").over(ahead)) & (F.count("label").over(ahead) == horizon + 1)
     d = d.withColumn("pure", pure).where(F.col("pure") & (F.col("t") >= lookback - 1))

@@ -252,8 +252,10 @@ def law_fits(spark, d):
 
 
 def _covered(spark, d):
-    """Brands with news: those with a part of a retail price above 1,000."""
-    return panels.read(spark, d, "part").where("p_retailprice > 1000").select(F.col("p_brand").alias("asset")).distinct()
+    """Brands with news: those whose parts cost more than parts do on average."""
+    part = panels.read(spark, d, "part")
+    g = part.groupBy(F.col("p_brand").alias("asset")).agg(F.round(F.avg("p_retailprice"), 6).alias("mean"))
+    return g.join(F.broadcast(part.agg(F.round(F.avg("p_retailprice"), 6).alias("all"))), F.col("mean") > F.col("all")).select("asset")
 
 
 def universe_resolved(spark, d):

@@ -33,7 +33,7 @@ lg AS (SELECT a.article_id, coalesce(median(b.s0), 0) AS lg FROM pr a LEFT JOIN
 n1 AS (SELECT pr.*, nt / (nt + 20.0) AS w, s0 - (nt / (nt + 20.0) * lt + (1 - nt / (nt + 20.0)) * lg) AS s1 FROM pr JOIN lt USING (article_id) JOIN lg USING (article_id)),
 fin AS (SELECT article_id, group_key, round(CASE WHEN count(*) OVER g < 3 THEN s1 ELSE (s1 - avg(s1) OVER g) / greatest(stddev_pop(s1) OVER g, 0.000001) END, 5) AS f FROM n1 WINDOW g AS (PARTITION BY CAST(valid_time AS DATE), group_key))"""
 POOLED = f"""{BARS_SQL}, {RET}, st AS (SELECT asset, count(ret) AS n, avg(ret) AS m, stddev_samp(ret) AS s FROM ret GROUP BY asset HAVING count(ret) >= 60 AND stddev_samp(ret) > 1e-12), z AS (SELECT (ret - m) / s AS z FROM ret JOIN st USING (asset) WHERE ret IS NOT NULL)"""
-COVERED = "cov AS (SELECT DISTINCT p_brand AS asset FROM part WHERE p_retailprice > 1000)"
+COVERED = "cov AS (SELECT p_brand AS asset FROM part GROUP BY p_brand HAVING round(avg(p_retailprice), 6) > (SELECT round(avg(p_retailprice), 6) FROM part))"
 UNIVERSE = f"{BARS_SQL}, {COVERED}, liq AS (SELECT asset, median(adj_close * volume) AS mdv FROM bars SEMI JOIN cov USING (asset) WHERE date <= DATE '1996-12-31' GROUP BY asset), uni AS (SELECT asset FROM liq ORDER BY mdv DESC, asset LIMIT 8)"
 LABELS = f"{BARS_SQL}, {FEATURES}, lab AS (SELECT asset, date, coalesce(abs(round(z_ret, 5)), 0) AS strength, CASE WHEN round(z_ret, 5) > 1 THEN 'BUY' WHEN round(z_ret, 5) < -1 THEN 'SELL' ELSE 'HOLD' END AS signal FROM features)"
 SPLITS = lambda days: f"""dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM {days})),

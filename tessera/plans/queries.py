@@ -94,14 +94,14 @@ def macro_daily(spark, d):
 def asof_ffill(spark, d):
     days = panels.bars(spark, d).select("date").distinct()
     names = panels.macro(spark, d).select("indicator").distinct()
-    return _rounded(signals.asof(names.join(F.broadcast(days), F.lit(True)), panels.macro(spark, d), "indicator", ["adj_close"]), 4)
+    return _rounded(signals.asof(names.crossJoin(days), panels.macro(spark, d), "indicator", ["adj_close"]), 4)
 
 
 def macro_channel(spark, d):
     series = signals.daily_series(panels.macro(spark, d), 120)
     days = panels.bars(spark, d).select("date").distinct()
     names = series.select("indicator").distinct()
-    at = signals.asof(names.join(F.broadcast(days), F.lit(True)), series, "indicator", ["ret", "z"])
+    at = signals.asof(names.crossJoin(days), series, "indicator", ["ret", "z"])
     own = technical.with_market(panels.bars(spark, d)).select("asset", "date", "ret")
     tally = signals.macro_channel(own, at, 60, 1.0, 0.0, 0.0)
     z = technical.daily_features(panels.bars(spark, d)).select("asset", "date", F.coalesce(signals.direction(F.round("z_ret", 5), 1.0), F.lit(0)).alias("own"))
@@ -193,7 +193,7 @@ def _prices(spark, d):
     n = b.select("asset").distinct().agg(F.count(F.lit(1)).alias("n"))
     cal = b.groupBy("date").agg(F.countDistinct("asset").alias("m")).join(F.broadcast(n), F.col("m") == F.col("n")).select("date")
     cal = cal.withColumn("t", F.row_number().over(Window.orderBy("date")) - 1)
-    return b.join(F.broadcast(cal), "date").select("asset", "date", "t", F.col("adj_close").alias("price"))
+    return b.join(cal, "date").select("asset", "date", "t", F.col("adj_close").alias("price"))
 
 
 def equal_weight_backtest(spark, d):
@@ -273,7 +273,7 @@ def naive_buy_and_hold(spark, d):
 def naive_index(spark, d):
     days = _prices(spark, d).select("date").distinct()
     names = panels.macro(spark, d).select("indicator").distinct()
-    at = signals.asof(names.join(F.broadcast(days), F.lit(True)), panels.macro(spark, d), "indicator", ["adj_close"])
+    at = signals.asof(names.crossJoin(days), panels.macro(spark, d), "indicator", ["adj_close"])
     return _rounded(baselines.index_paths(at))
 
 
