@@ -5,8 +5,9 @@ turn to the target marginals of each dimension until all agree within ``toleranc
 that no weights can meet (a value that occurs with one other value only) show in a gap that
 stops falling; the weights reached are kept, with a warning that names the gap.  The ratio of raked to present tokens, scaled so that the expected
 tokens are ``budget`` of all with no probability over 1, is the probability of a cell's
-documents, and a hash of the id draws.  All of it is grouped aggregation over cells, so
-nothing is gathered on the driver but a few sums.
+documents, and a hash of the id draws.  Cells come from one grouped aggregation.  Up to
+``in_place`` of them are raked as arrays on the driver; more by grouped aggregations, with
+the same arithmetic, so that only sums are gathered.
 
 Targets: tempered present shares (share ** alpha) unless given as {value: weight}.  Topics: a
 column named by ``topic``, or else the form of the text.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ def _targets(cells: DataFrame, dim: str, given: dict | None) -> DataFrame:
     return want.select(F.col(dim).alias(f"v_{dim}"), (F.col("w") / (total or 1.0)).alias("goal"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict] | None = None, tolerance: float = 0.005) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict] | None = None, tolerance: float = 0.005, in_place: int = 100_000) -> DataFrame:
     """cells with ``raked``: token weights whose marginals meet the targets.
 
     Sweeps go on while the largest factor still comes nearer to 1, by a hundredth a sweep at least.
@@ -65,6 +67,11 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, tolerance: fl
     targets = targets or {}
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0.0)
     goals = {d: stored(_targets(cells, d, targets.get(d)), "goals") for d in DIMENSIONS}
+    here = cells.select(*DIMENSIONS, "tokens").limit(in_place + 1).collect() if in_place else []
+    if here and len(here) <= in_place:
+        raked = _raked_here(here, {d: {r[0]: r["goal"] for r in goals[d].collect()} for d in DIMENSIONS}, total, tolerance)
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*DIMENSIONS, "tokens").schema)
+        return cells.sparkSession.createDataFrame([(*r, float(w)) for r, w in zip(here, raked, strict=True)], f"{kinds}, raked double")
     now = cells.withColumn("raked", F.col("tokens").cast("double"))
     before = float("inf")
     while total:
@@ -78,15 +85,40 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, tolerance: fl
         now = stored(now.withColumn("worst", worst).drop(*[f"f_{d}" for d in DIMENSIONS]), "raked")
         gap = now.agg(F.max("worst")).first()[0] or 0.0
         now = now.drop("worst")
-        if gap <= tolerance:
-            break
-        if gap > 0.99 * before:
-            warnings.warn(f"raking stopped: targets can't all be met, factors still differ from 1 by {gap:.4f}", stacklevel=2)
+        if _done(gap, before, tolerance):
             break
         before = gap
     return now
 
 
+def _done(gap: float, before: float, tolerance: float) -> bool:
+    if gap > tolerance and gap > 0.99 * before:
+        warnings.warn(f"raking stopped: targets can't all be met, factors still differ from 1 by {gap:.4f}", stacklevel=3)
+        return True
+    return gap <= tolerance
+
+
+def _raked_here(cells: list, goals: dict[str, dict], total: float, tolerance: float) -> np.ndarray:
+    """The raked weights of collected cells."""
+    raked, before, at, share = np.array([float(r["tokens"]) for r in cells]), np.inf, {}, {}
+    for d in DIMENSIONS:
+        values = list(dict.fromkeys(r[d] for r in cells))
+        place = {v: i for i, v in enumerate(values)}
+        at[d] = np.array([place[r[d]] for r in cells])
+        share[d] = np.array([np.nan if goals[d].get(v) is None else goals[d][v] for v in values])
+    while total:
+        gap = 0.0
+        for d in DIMENSIONS:
+            have = np.bincount(at[d], raked, len(share[d]))
+            f = np.divide(share[d] * total, have, out=np.ones(len(have)), where=(have > 0) & ~np.isnan(share[d]))[at[d]]
+            raked = raked * f
+            gap = max(gap, float(np.where(raked > 0, np.abs(f - 1), 0.0).max()))
+        if _done(gap, before, tolerance):
+            break
+        before = gap
+    return raked
+
+
 def probabilities(cells: DataFrame, budget: float) -> DataFrame:
     """cells with ``probability``: c * raked / tokens, at most 1, whose expected tokens are the budget."""
     ratio = F.coalesce(F.try_divide("raked", F.col("tokens").cast("double")), F.lit(None).cast("double"))

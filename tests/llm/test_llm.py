@@ -441,6 +441,15 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix(docs).count() == docs.count()
 
 
+def test_raking_here_and_by_aggregation(spark):
+    rng = np.random.default_rng(17)
+    d = spark.createDataFrame([(("a", "b", None)[i % 3], ("en", "de")[i % 2], f"t{i % 4}", int(rng.integers(0, 900))) for i in range(12)], "source string, lang string, topic string, tokens long")
+    d = d.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    for targets in (None, {"lang": {"en": 3, "de": 1}}):
+        one, two = ({(r.source, r.lang, r.topic): r.raked for r in mixing.rake(d, targets, in_place=n).collect()} for n in (100, 0))
+        assert one == pytest.approx(two)
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 
