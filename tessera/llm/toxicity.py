@@ -10,8 +10,8 @@ the weight found and of the weight per word, so that a long text needs more of i
 ``max_labelled`` bounds the labelled rows that weights and calibration are fitted on (by
 hash of the id, each label apart); scoring covers every row and whole texts.
 
-An entry must be in ``least`` toxic texts of the sample and stand out by ``least_sure`` nats;
-of a word's beginnings the longest with the same evidence counts, or the whole word.
+An entry must be in a ``share`` of the sample's toxic texts (near copies of one text share its
+odd words, which are no evidence) and stand out by ``least_sure`` nats; of a word's beginnings the longest with the same evidence counts, or the whole word.
 
 Defined results: null, empty and blank texts score the floor of the calibration; rows
 that repeat are scored alike; without labels of both classes the built-in seed lexicon and
@@ -21,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -173,7 +174,7 @@ def count_entries(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     return part.groupBy("entry", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, least_odds: float = 3.0, least: int = 4, least_sure: float = 12.0) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000, least_odds: float = 3.0, share: float = 0.012, least_sure: float = 12.0) -> Lexicon:
     """Lexicon from labelled rows (k, t) and (k, y)."""
     ranked = [labels.where(F.col("y") == v).orderBy(F.xxhash64("k", F.lit("toxicity"))).limit(max_labelled) for v in (1, 0)]
     sample = stored(docs.join(ranked[0].union(ranked[1]), "k").dropDuplicates(["t"]), "labelled")
@@ -181,6 +182,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 5_000,
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if pos < 5 or neg < 5:
         return Lexicon()
+    least = max(4, math.ceil(share * pos))
     odds = F.log((F.col("toxic") + 0.5) / (pos + 1.0)) - F.log((F.col("clean") + 0.5) / (neg + 1.0))
     # Entries by chance: their share of toxic texts must differ from the sample's by ``least_sure`` nats.
     rate, seen = pos / (pos + neg), F.col("toxic") + F.col("clean")
