@@ -135,7 +135,8 @@ def _parts(pattern: str) -> Column:
     """gap, lead, value of every match in t, in order."""
     group = lambda i: F.regexp_extract_all("t", F.lit(pattern), F.lit(i))
     # the last gap has no match after it
-    return F.filter(F.arrays_zip(F.split("t", pattern).alias("gap"), group(1).alias("lead"), group(2).alias("value")), lambda x: x["value"].isNotNull())
+    found = F.filter(F.arrays_zip(F.split("t", pattern).alias("gap"), group(1).alias("lead"), group(2).alias("value")), lambda x: x["value"].isNotNull())
+    return F.when(F.col("t").rlike(pattern), found).otherwise(F.expr("cast(array() AS array<struct<gap: string, lead: string, value: string>>)"))
 
 
 def _placed(parts: str) -> Column:
