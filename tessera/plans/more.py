@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import audits, backtest, baselines, chunks, execution, experiments, forecasts, graph, market, newsflow, scoring, signals, technical, universe
@@ -20,6 +20,11 @@ def _round(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
     return df.select(*[F.round(c, own.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _scaled_round(c: str, digits: int) -> Column:
+    """Rounds the product with 10^digits, as DuckDB does; F.round rounds the decimal digits, which differs next to a half."""
+    return F.round(F.col(c) * 10.0**digits) / 10.0**digits
+
+
 # --- scores and texts ------------------------------------------------------------------
 
 
@@ -553,7 +558,7 @@ def contract_columns(spark, d):
 
 def provider_candles(spark, d):
     """Candles from JSON replies; some closes are no numbers, and each session is sent again with other prices."""
-    b = panels.bars(spark, d).select("asset", (F.unix_date("date") * 86400).cast("string").alias("t"), *[F.round(c, 4).cast("string").alias(c) for c in ("open", "high", "low", "volume")], F.when(F.unix_date("date") % 5 == 0, "n/a").otherwise(F.round("close", 4).cast("string")).alias("close"))
+    b = panels.bars(spark, d).select("asset", (F.unix_date("date") * 86400).cast("string").alias("t"), *[_scaled_round(c, 4).cast("string").alias(c) for c in ("open", "high", "low", "volume")], F.when(F.unix_date("date") % 5 == 0, "n/a").otherwise(_scaled_round("close", 4).cast("string")).alias("close"))
     twice = {"t": ("t", F.col("t")), "o": ("open", F.lit("0")), "h": ("high", F.lit("0")), "l": ("low", F.lit("0")), "c": ("close", F.col("close")), "v": ("volume", F.lit("0"))}
     body = F.to_json(F.struct(*[F.array(F.col(c), again).alias(k) for k, (c, again) in twice.items()]))
     return _round(files.candles(b.select(F.col("asset").alias("symbol"), body.alias("body"))), 4)

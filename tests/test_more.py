@@ -2,11 +2,13 @@ import math
 from datetime import date, datetime, timedelta
 from statistics import NormalDist
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import audits, backtest, execution, experiments, forecasts, graph, market, scoring, universe
+from tessera.plans import more, more_oracles
 from tessera.sources import files
 
 NOW = datetime(2024, 5, 1, 12)
@@ -279,3 +281,17 @@ def test_closed_form_book_equals_the_fold(spark):
     assert all(book[t].value == pytest.approx(fold[t].value) for t in book)
     got = backtest.evaluate(backtest.equal_weight_book(p, 5).withColumn("strategy", F.lit("EW")), backtest.equal_weight_book(p, 5, 0, 0).withColumn("strategy", F.lit("EW")), w).first()
     assert got.cum_return_gross > got.cum_return_net and got.total_costs == pytest.approx(got.transaction_costs + got.slippage_costs) and len(got) == 18
+
+
+def test_candles_are_rounded_as_their_sql_rounds(spark, tmp_path):
+    # quotients next to half of the fourth decimal; each alone in its week, so no sum has an order
+    quotients = [(2432.99, 40.0), (6201.85, 40.0), (15137.73, 8.0), (7457.73, 16.0), (2494.87, 16.0), (1234.5, 7.0)]
+    rows = [(1, 1, *x, 0.05, datetime(1996, 1, 2) + timedelta(weeks=i)) for i, x in enumerate(quotients)]
+    spark.createDataFrame(rows, "l_partkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_discount double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "Brand#1")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(more_oracles.MORE["provider_candles"]).fetchall()
+    got = [tuple(r) for r in more.provider_candles(spark, str(tmp_path)).collect()]
+    assert len(want) > 3 and sorted(got) == sorted(want)
