@@ -491,6 +491,49 @@ def test_pipeline_against_brute_force(spark, texts, tmp_path):
     assert len(last) == drawn and [x[:3] for x in whole] == [x[:3] for x in last]
 
 
+def shuffled(df):
+    """Rows that the exchanges of a frame have written, and the frame's rows."""
+    rows, plan = df.collect(), df._jdf.queryExecution().executedPlan()
+    total, todo, seen = 0, [plan], set()
+    while todo:
+        node = todo.pop()
+        name, below = node.nodeName(), node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.finalPhysicalPlan())
+        elif name in ("ShuffleQueryStage", "BroadcastQueryStage"):
+            todo.append(node.plan())
+        elif name == "Exchange" and node.id() not in seen:
+            seen.add(node.id())
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+    return total, rows
+
+
+@pytest.mark.parametrize("most", (10_000, 100, -1))
+def test_marked_rows_leave_without_a_shuffle_of_the_others(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_MARKS", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.range(20_000).select(F.when(F.col("id") > 9, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("x").alias("row_id"), F.lit(1).alias("_mark_bits")).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        gone = docs.where("doc_id is null or doc_id % 20 = 3").select("doc_id", F.xxhash64("doc_id", "text").alias("row_id"))
+        gone = gone.union(spark.createDataFrame([(5, 6), (None, 7)], "doc_id long, row_id long"))
+        n, rows = shuffled(corpus_pipeline._without(docs, gone))
+        assert sorted(r.text for r in rows) == sorted(f"text {i}" for i in range(10, 20_000) if i % 20 != 3)
+        assert n < 8_000  # marks, and rows that may be marked
+        none = corpus_pipeline._without(docs, gone.limit(0))
+        assert none.count() == 20_000 and none.columns == docs.columns
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_near_dedup_of_the_pipeline_by_bitmaps(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_MARKS", -1)
+    rows = [*enumerate(texts), (5, texts[5]), (5, texts[5]), (None, texts[0]), (None, texts[0]), (7, "other words of the same id here"), (900, texts[1])]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(brute_stays(rows), key=str)
+
+
 def test_pipeline_of_empty_tables(spark, empty, tmp_path):
     empty.drop("row", "c").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
